@@ -7,10 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup
+from . import history, lookalike, near_dup, pairs, splits
 from .frames import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeats(table(spark, d, "selected_pairs"), "ID", "SentenceA", "SentenceB", "arrived_at")
+
+
+def _split_name(c: str):
+    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    name = _split_name("split_name")
+    side = F.when(name == "train", "train").when(name.isin("validation", "test"), "eval")
+    source = F.coalesce("set_source", F.lit("unknown"))
+    return pairs.records(table(spark, d, "scored_pairs"), "ID", "SentenceA", "SentenceB", extra={"side": side, "split": name, "source": source})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    both = pairs.cross_overlaps(_scored(spark, d), "side")
+    return both.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+
+
+def p2_overlap_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: its records, those that stand in train, and the pairs they make."""
+    recs = _scored(spark, d)
+    hits = pairs.cross_overlaps(recs, "side").groupBy("id").agg(F.count("*").alias("n"))
+    rows = recs.where("side = 'eval'").join(hits, "id", "left")
+    return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("leaked"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    c = splits.related(table(spark, d, "merged_trainset"), "ID", "SentenceA", "SentenceB")
+    return c.where("node <> root").select(F.col("root").alias("id_first"), F.col("node").alias("id_member"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(table(spark, d, "merged_trainset"), "ID", "SentenceA", "SentenceB")
+
+
+TEXTS = ["Segmented_Text_EWTS", "Segmented_Text"]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.alike_pairs_of_rows(table(spark, d, "segments"), "seg_no", TEXTS).toDF("seg_no_a", "seg_no_b")
+
+
+def p3_one_form(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.one_form(table(spark, d, "segments").select("seg_no", *TEXTS), TEXTS)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     c = near_dup.near_duplicates(table(spark, d, "segments"), "seg_no", "Segmented_Text_EWTS", "Segmented_Text")
     return c.where("node <> root").select(F.col("root").alias("seg_no_first"), F.col("node").alias("seg_no"))
@@ -21,6 +69,13 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_overlap_by_split": p2_overlap_by_split,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
+    "p3_found": p3_found,
+    "p3_one_form": p3_one_form,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
 }
