@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, lookalike, near_dup, pairs, splits
+from . import history, lookalike, mixture, near_dup, neighbours, pairs, splits
 from .frames import table
 
 
@@ -39,6 +39,24 @@ def p2_overlap_by_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("leaked"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    joined = mixture.clusters(table(spark, d, "sentence_vectors"), "vec_id", "embeddings")[0]
+    return joined.where("node <> root").select(F.col("root").alias("vec_id_first"), F.col("node").alias("vec_id"))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.described(table(spark, d, "sentence_vectors"), "vec_id", "embeddings", "Segmented_Text_EWTS")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embeddings")
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "sentence_vectors"), "vec_id", "embeddings").withColumnRenamed("id", "vec_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     c = splits.related(table(spark, d, "merged_trainset"), "ID", "SentenceA", "SentenceB")
     return c.where("node <> root").select(F.col("root").alias("id_first"), F.col("node").alias("id_member"))
@@ -72,6 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_overlap_by_split": p2_overlap_by_split,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p3_found": p3_found,
