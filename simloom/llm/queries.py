@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, lookalike, mixture, near_dup, neighbours, pairs, splits
+from . import history, leaks, lookalike, mixture, near_dup, neighbours, pairs, splits
 from .frames import table
 
 
@@ -86,6 +86,22 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(table(spark, d, "segments"), "seg_no", "Segmented_Text_EWTS", "Segmented_Text")
 
 
+GOLD = ["SentenceA", "SentenceB", "SentenceA_unicode", "SentenceB_unicode"]
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "gold_pairs"), "ID", GOLD)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: in how many documents it stands, and the largest part of a sentence found."""
+    return _leaked(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.countDistinct("id").alias("documents"), F.max("coverage").alias("coverage"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -98,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": p6_splits,
     "p3_found": p3_found,
     "p3_one_form": p3_one_form,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
 }
