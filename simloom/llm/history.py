@@ -106,13 +106,20 @@ class AcceptedHistory:
         return out
 
 
-def repeats(df: DataFrame, id_col: str, a: str, b: str, arrived: str) -> DataFrame:
-    """All batches of a table in turn, a batch being the IDs with the same first two fields."""
+def repeats(df: DataFrame, id_col: str, a: str, b: str, arrived: str, deliveries: int = 4) -> DataFrame:
+    """All iterations of a table in turn, an iteration being the IDs with the same first two fields.
+
+    Neighbouring iterations are delivered as one batch, so that there are at most so many batches; what comes out is
+    the same for any number, fewer take fewer jobs.
+    """
     recs = records(df, id_col, a, b, [arrived], {"batch": F.substring_index(F.col(id_col), "_", 2)})
     history = AcceptedHistory(df.sparkSession, frequent_tokens(recs))
-    found = None
-    for (batch,) in sorted(recs.select("batch").distinct().collect()):  # as many as batches came
-        again = history.add(recs.where(F.col("batch") == batch))
-        found = again if found is None else found.unionByName(again)
+    found = df.sparkSession.createDataFrame([], "id_first string, id_again string")
+    names = sorted(r[0] for r in recs.select("batch").distinct().collect())  # one for each iteration
+    each = -(-len(names) // deliveries)
+    for k in range(0, len(names), max(1, each)):
+        part = names[k : k + each]
+        again = history.add(recs.where(F.col("batch").between(part[0], part[-1])))
+        found = found.unionByName(stage(again, "repeats"))
     history.close()
-    return found if found is not None else df.sparkSession.createDataFrame([], "id_first string, id_again string")
+    return found
