@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, leaks, lookalike, mixture, near_dup, neighbours, pairs, splits
+from . import abuse, history, leaks, lookalike, mixture, near_dup, neighbours, pairs, splits
 from .frames import table
 
 
@@ -102,6 +102,25 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.countDistinct("id").alias("documents"), F.max("coverage").alias("coverage"))
 
 
+def _scored_docs(spark: SparkSession, d: str, **keep) -> DataFrame:
+    labels, terms = table(spark, d, "doc_labels"), table(spark, d, "term_list")
+    return abuse.scored(table(spark, d, "documents"), "doc_id", "text", labels, "doc_id", "abusive", "rater", terms, "term", "category", keep=keep)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_docs(spark, d).where(F.col("score") > abuse.THRESHOLD).select(F.col("id").alias("doc_id"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_docs(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    each = _scored_docs(spark, d, source=abuse.source_name("source"))
+    bad = F.col("score") > abuse.THRESHOLD
+    return each.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(bad).alias("abusive"), F.avg(F.when(bad, 1.0).otherwise(0.0)).alias("rate"), F.max("score").alias("worst"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -116,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_one_form": p3_one_form,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
 }
