@@ -25,9 +25,9 @@ from .frames import drop, stage
 from .neighbours import runs
 from .vectors import dimension, equal_classes, stack, unit
 
-FEATURES, COMPONENTS, ROUNDS = 16, (16, 32, 64), 6
+FEATURES, COMPONENTS, ROUNDS = 32, (16, 32, 64), 6
 SHRINK = 0.05
-LEAST, MARGIN, TILE = 0.75, 12.0, 12_000
+LEAST, MARGIN, TILE = 0.75, 4.0, 12_000
 
 
 def _moments(batches, dim: int):
