@@ -27,7 +27,7 @@ from .vectors import dimension, equal_classes, stack, unit
 
 FEATURES, COMPONENTS, ROUNDS = 32, (16, 32, 64), 6
 SHRINK = 0.05
-LEAST, MARGIN, TILE = 0.75, 4.0, 12_000
+LEAST, MARGIN, TILE = 0.75, 6.0, 12_000
 
 
 def _moments(batches, dim: int):
