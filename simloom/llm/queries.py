@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, history, leaks, lookalike, mixture, near_dup, neighbours, pairs, splits
+from . import abuse, history, leaks, lookalike, mixing, mixture, near_dup, neighbours, pairs, splits
 from .frames import table
 
 
@@ -102,6 +102,19 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.countDistinct("id").alias("documents"), F.max("coverage").alias("coverage"))
 
 
+def _targets(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
+    rows = table(spark, d, "mix_targets").select("source_name", "target_share", "max_repeats").dropna().limit(10_000)
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), "doc_id", "text", abuse.source_name("source"), _targets(spark, d))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), "doc_id", "text", abuse.source_name("source"), _targets(spark, d))
+
+
 def _scored_docs(spark: SparkSession, d: str, **keep) -> DataFrame:
     labels, terms = table(spark, d, "doc_labels"), table(spark, d, "term_list")
     return abuse.scored(table(spark, d, "documents"), "doc_id", "text", labels, "doc_id", "abusive", "rater", terms, "term", "category", keep=keep)
@@ -135,6 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_one_form": p3_one_form,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
