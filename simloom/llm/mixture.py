@@ -26,8 +26,8 @@ from .neighbours import runs
 from .vectors import dimension, equal_classes, stack, unit
 
 FEATURES, COMPONENTS, ROUNDS = 32, (16, 32, 64), 6
-SHRINK = 0.05
-LEAST, MARGIN, TILE = 0.75, 6.0, 12_000
+SHRINK, PRIOR = 0.05, 4.0  # ridge; rows per dimension that the whole table's covariance weighs in each component's
+LEAST, MARGIN, TILE, ROWS = 0.75, 3.0, 12_000, 1024
 
 
 def _moments(batches, dim: int):
@@ -74,13 +74,18 @@ class Mixture:
         low = np.linalg.cholesky(covariances)
         self.inv = np.linalg.inv(low)
         self.const = np.log(weights) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1) - 0.5 * d * np.log(2 * np.pi)
-        self.shift = np.einsum("kij,kj->ki", self.inv, means)
+        self.wide = self.inv.reshape(-1, d).T.astype(np.float32)
+        self.shift32 = np.einsum("kij,kj->ki", self.inv, means).ravel().astype(np.float32)
 
     def log_parts(self, z: np.ndarray) -> np.ndarray:
         """log(weight x density) of every row under every component."""
         k, d = self.m.shape
-        y = z @ self.inv.reshape(k * d, d).T - self.shift.ravel()
-        return self.const - 0.5 * (y * y).reshape(len(z), k, d).sum(2)
+        out = np.empty((len(z), k))
+        for s in range(0, len(z), ROWS):
+            y = z[s : s + ROWS].astype(np.float32) @ self.wide - self.shift32
+            y *= y
+            out[s : s + ROWS] = y.reshape(len(y), k, d).sum(2)
+        return self.const - 0.5 * out
 
 
 def log_sum(parts: np.ndarray) -> np.ndarray:
@@ -94,19 +99,20 @@ def _expect(batches, mixtures: list[Mixture], d: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        z = np.frombuffer(b"".join(batch.column("z").to_pylist()), np.float32).reshape(-1, d).astype(np.float64)
-        pairs = (z[:, :, None] * z[:, None, :]).reshape(len(z), d * d)
-        wide = np.concatenate([z, pairs], 1)
+        z = np.frombuffer(b"".join(batch.column("z").to_pylist()), np.float32).reshape(-1, d)
         start = 0
         for i, m in enumerate(mixtures):
             parts = m.log_parts(z)
             whole = log_sum(parts)
             r = np.exp(parts - whole[:, None])
-            mass, moments = r.sum(0), r.T @ wide
+            mass, first = r.sum(0), r.T @ z.astype(np.float64)
             for k in range(len(mass)):
+                near = r[:, k] > 1e-7
+                zk = z[near]
+                second = (zk * r[near, k, None].astype(np.float32)).T @ zk
                 s = sums.setdefault(start + k, [0.0, 0.0])
                 s[0] += mass[k]
-                s[1] = s[1] + moments[k]
+                s[1] = s[1] + np.concatenate([first[k], second.ravel()])
             s = sums.setdefault(-1 - i, [0.0, np.zeros(1)])
             s[0] += len(z)
             s[1] = s[1] + whole.sum()
@@ -152,6 +158,7 @@ def fit(vectors: DataFrame, dim: int, sample: int = 4096, features: int = FEATUR
     values, axes = np.linalg.eigh(cov / np.outer(scale, scale))
     d = min(features, dim)
     axes = axes[:, ::-1][:, :d]
+    whole = np.diag(np.maximum(values[::-1][:d], 1e-9))
     reduced = stage(vectors.mapInArrow(lambda it: _reduced(it, dim, mean, scale, axes), "id long, z binary"), "features")
     some = reduced.orderBy(F.xxhash64("id")).limit(sample).toArrow().column("z").to_pylist()
     z = np.frombuffer(b"".join(some), np.float32).reshape(-1, d).astype(np.float64)
@@ -170,7 +177,8 @@ def fit(vectors: DataFrame, dim: int, sample: int = 4096, features: int = FEATUR
                 mass, v = sums[start + j]
                 mass = max(mass, 1e-6)
                 w[j], mu[j] = mass / n, v[:d] / mass
-                c[j] = (v[d:].reshape(d, d) / mass - np.outer(mu[j], mu[j])) * mass / (mass + d) + SHRINK * np.eye(d)
+                own = v[d:].reshape(d, d) - mass * np.outer(mu[j], mu[j])
+                c[j] = (own + PRIOR * d * whole) / (mass + PRIOR * d) + SHRINK * np.eye(d)
             start += k
             mixtures.append(Mixture(w / w.sum(), mu, c))
     for i, m in enumerate(mixtures):
