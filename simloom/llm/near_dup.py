@@ -83,7 +83,7 @@ def _entries(batches, rank: dict[int, int], levels: int):
             rows.extend([k] * len(found))
             low.append(bits & 0xFFFFFFFFFFFFFFFF)
             high.append(bits >> 64)
-            info.append(int(flags[k]) | n << 2 | (n - bits.bit_count()) << 20)
+            info.append(int(flags[k]) | n << 2 | (n - bits.bit_count()) << 32)
         at = np.array(rows, np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.array(keys, np.int64)), pa.array(ids[at]), pa.array(np.array(info, np.int64)[at]), pa.array(np.array(low, np.uint64).view(np.int64)[at]), pa.array(np.array(high, np.uint64).view(np.int64)[at])],
@@ -95,12 +95,13 @@ class CountTree:
     """R-tree over group counts, packed bottom-up; all pairs of points whose bound reaches the threshold."""
 
     def __init__(self, ids, info, low, high):
-        n, extra = (info >> 2) & 0x3FFFF, info >> 20
+        n, extra = (info >> 2) & 0x3FFFFFFF, info >> 32
         order = np.lexsort((high, low, n))
         self.ids, self.flag, self.n, self.extra = ids[order], (info & 3)[order], n[order].astype(np.int32), extra[order].astype(np.int32)
         self.low, self.high = low.view(np.uint64)[order], high.view(np.uint64)[order]
         starts = np.arange(0, len(ids), LEAF)
         self.starts, self.ends = starts, np.minimum(starts + LEAF, len(ids))
+        self.few = self.extra.max(initial=0) < 128  # then bounds fit a byte
         # a leaf's box: the largest coordinates, the shortest and the longest text
         self.box_low, self.box_high = np.bitwise_or.reduceat(self.low, starts), np.bitwise_or.reduceat(self.high, starts)
         self.box_extra = np.maximum.reduceat(self.extra, starts)
@@ -122,7 +123,8 @@ class CountTree:
                     y = min(x + 4096, b)
                     over = np.bitwise_count(self.low[s:e, None] & self.low[None, x:y])
                     over += np.bitwise_count(self.high[s:e, None] & self.high[None, x:y])
-                    over += np.minimum(self.extra[s:e, None], self.extra[None, x:y]).astype(np.uint8)
+                    both = np.minimum(self.extra[s:e, None], self.extra[None, x:y])
+                    over = over + (both.astype(np.uint8) if self.few else both)
                     most = np.maximum(self.n[s:e, None], self.n[None, x:y])
                     p, q = np.nonzero(over >= needed(most).astype(np.int32))
                     p, q = p + s, q + x
