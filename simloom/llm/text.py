@@ -159,6 +159,7 @@ _VOWELS = {"a": "", "i": "ི", "u": "ུ", "e": "ེ", "o": "ོ", "A": "ཱ",
 _LOAN = {"ā": "A", "ī": "I", "ū": "U", "ś": "sh", "ṣ": "Sh", "ṭ": "T", "ḍ": "D", "ṇ": "N", "ṅ": "ng", "ñ": "ny", "ṃ": "M", "ṁ": "M"}
 _HEAD = {"r": {"k", "g", "ng", "j", "ny", "t", "d", "n", "b", "m", "ts", "dz"}, "l": {"k", "g", "ng", "c", "j", "t", "d", "p", "b", "h"}, "s": {"k", "g", "ng", "ny", "t", "d", "n", "p", "b", "m", "ts"}}
 _UNDER = {"y": {"k", "kh", "g", "p", "ph", "b", "m", "h"}, "r": {"k", "kh", "g", "t", "th", "d", "n", "p", "ph", "b", "m", "sh", "s", "h", "dz"}, "l": {"k", "g", "b", "z", "r", "s"}, "w": {"k", "kh", "g", "c", "ny", "t", "d", "ts", "tsh", "zh", "z", "r", "l", "sh", "s", "h"}}
+_ENDS = re.compile(r"(g|ng|d|n|b|m|'|r|l|s)( s| d)?")
 _CONSONANT = re.compile("tsh|Th|Sh|kh|ng|ch|ny|th|ph|ts|dz|zh|sh|[kgcjtdnpbmwz'yrlshvTDN]")
 _SYLLABLE = re.compile(r"([^aeiouAIU]*)(a|i|u|e|o|A|I|U)(M?)(.*)", re.S)
 
@@ -226,7 +227,7 @@ def to_script(token: str) -> str | None:
         m = _SYLLABLE.fullmatch(rest)
         if not m:
             tail = _consonants(rest)
-            if first or tail is None or "+" in tail or "." in tail:
+            if first or tail is None or not _ENDS.fullmatch(" ".join(tail)):
                 return None
             return out + "".join(_LETTERS[c] for c in tail)
         before, vowel, mark, rest = m.groups()
