@@ -242,7 +242,7 @@ def _two_scores(spark, d) -> DataFrame:
 _TWO = f"(SELECT DISTINCT ID, {NUM.format('FaissDistance')} x, {NUM.format('score')} y, iteration_source FROM merged_trainset WHERE NOT isnan(FaissDistance) AND NOT isnan(score))"
 
 
-@query(f"""SELECT iteration_source, count(*) AS n, round(corr(x, y), 6) AS pearson FROM {_TWO} GROUP BY 1""")
+@query(f"""SELECT iteration_source, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) END AS pearson FROM {_TWO} GROUP BY 1""")
 def pearson(spark, d):
     return stats.pearson(_two_scores(spark, d), ["iteration_source"], "FaissDistance", "score").select("iteration_source", "n", r6("pearson").alias("pearson"))
 
