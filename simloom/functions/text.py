@@ -31,12 +31,16 @@ def words(c: str | Column) -> Column:
 
 def word_distance(a: str | Column, b: str | Column, at_most: int | None = None) -> Column:
     """Edits of whole words from a to b; with at_most, -1 beyond it. Null if either is null."""
-    return _distance(words(a), words(b), at_most)
+    both = F.struct(words(a).alias("a"), words(b).alias("b"))
+    return _let(both, lambda w: _let(F.struct(w["a"].alias("a"), w["b"].alias("b"), F.array_distinct(F.concat(w["a"], w["b"])).alias("known")), lambda x: _distance(x["a"], x["b"], x["known"], at_most)))
 
 
-def _distance(ta: Column, tb: Column, at_most: int | None) -> Column:
-    known = F.array_distinct(F.concat(ta, tb))
+def _let(value: Column, body) -> Column:
+    """The body over a value that is computed once, not at each place where a lambda uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+
+def _distance(ta: Column, tb: Column, known: Column, at_most: int | None) -> Column:
     def coded(t: Column) -> Column:
         one = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + F.lit(WORD_BASE)), 4, "0")), "UTF-16BE")
         return F.array_join(F.transform(t, one), "")
