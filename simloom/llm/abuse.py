@@ -7,7 +7,9 @@ labels show to be as telling.  A sentence is a window: its score is the mean log
 sequences (of up to three words, terms by their category), by which the same term scores high in an insult and low in
 a glossary entry, a quotation or a story.  A document has the score of its worst window.
 
-The weights are fitted on a bounded sample of labelled documents (``positives`` and ``negatives`` rows at most).  Labels
+The weights are fitted on a bounded sample of labelled documents (``positives`` and ``negatives`` rows at most), in which
+a document stands for as many labelled ones of its class as the bound leaves out, so shares and odds are those of all
+labelled documents; only bars on how often a thing was seen count sampled documents.  Labels
 belong to documents and are noisy, so fitting alternates between choosing each document's guilty windows, the log odds of
 sequences, and the chance that each label is right given the raters' votes.  Pairs of syllables that only guilty
 windows have become terms.
@@ -184,7 +186,7 @@ def top_means(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
 class _Windows:
     """Windows of the labelled documents by their sequences."""
 
-    def __init__(self, docs: list[list[list[str]]]):
+    def __init__(self, docs: list[list[list[str]]], weight: np.ndarray):
         sets = [[grams(w) for w in d] for d in docs]
         seen = Counter(g for d in sets for g in set().union(*d))
         self.names = sorted(g for g, n in seen.items() if n > 1)
@@ -194,15 +196,17 @@ class _Windows:
         self.flat = np.array([k for r in rows for k in r], np.int64)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.count, self.docs = len(rows), len(docs)
-        self.n = np.bincount(self.flat, minlength=len(self.names)).astype(float)
+        self.weight = weight[self.owner]  # by window
+        self.n = np.bincount(self.flat, self.weight[self.row], len(self.names))
 
     def odds(self, guilt: np.ndarray, alone: bool) -> np.ndarray:
         """Log odds of guilt by sequence; with alone, at each place without the window's own part."""
-        k, n = np.bincount(self.flat, guilt[self.row], len(self.names)), self.n
+        own, each = guilt[self.row], self.weight[self.row]
+        seen, k, n = np.bincount(self.flat, own, len(self.names)), np.bincount(self.flat, own * each, len(self.names)), self.n
         if alone:
-            k, n = k[self.flat] - guilt[self.row], n[self.flat] - 1
-        out = np.log((k + BASE * 0.3) / (n - k + (1 - BASE) * 0.3))
-        return np.where(k >= 0.4, out, NONE).clip(NONE)
+            seen, k, n = seen[self.flat] - own, k[self.flat] - own * each, n[self.flat] - each
+        out = np.log((k.clip(0) + BASE * 0.3) / ((n - k).clip(0) + (1 - BASE) * 0.3))
+        return np.where(seen >= 0.4, out, NONE).clip(NONE)
 
 
 def _right(top: np.ndarray, votes: np.ndarray) -> np.ndarray:
@@ -237,8 +241,8 @@ def _settled(windows: _Windows, votes: np.ndarray, rounds: int):
     return windows.odds(guilt, alone=False), guilt
 
 
-def fit(sample: list[tuple[str, int, int]], terms: list[tuple[str, str]], rounds: int = 6) -> Model:
-    """The model from (text, positive votes, votes) and (term, category)."""
+def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]], rounds: int = 6) -> Model:
+    """The model from (text, positive votes, votes, labelled documents it stands for) and (term, category)."""
     listed = Words()
     phrases: dict[tuple[str, ...], str] = {}
     latin = set()
@@ -247,39 +251,45 @@ def fit(sample: list[tuple[str, int, int]], terms: list[tuple[str, str]], rounds
             script = all("ༀ" <= w[0] <= "࿿" for w in words)
             phrases[tuple(words)] = "<term>" if script and len(words) > 1 else f"<{category}>"
             latin |= {w for w in words if _LATIN.fullmatch(w)}
-    votes = np.array([(k, n) for _, k, n in sample], float).reshape(-1, 2)
+    votes = np.array([(k, n) for _, k, n, _ in sample], float).reshape(-1, 2)
+    weight = np.array([x for *_, x in sample], float)
     if not len(votes) or not votes[:, 0].any():
         return Model(latin, set(), phrases, {(tag,): 3.0 for tag in phrases.values()})
     chance = _right(np.full(len(sample), np.log(BASE / (1 - BASE))), votes)
     # words that the labels show to be telling join the lexicon; words at home elsewhere are never misspellings
-    pos, often = Counter(), Counter()
-    for share, (text, _, _) in zip(chance, sample):
+    pos, often, seen, rows = Counter(), Counter(), Counter(), Counter()
+    for share, (text, _, _, x) in zip(chance, sample):
         for w in {w for words in listed.windows(text) for w in words}:
-            pos[w] += share
-            often[w] += 1
-    p, n = chance.sum(), len(sample) - chance.sum()
-    learned = {w for w, k in pos.items() if k >= 1.4 and len(w) >= 4 and _LATIN.fullmatch(w) and k / often[w] > 4 * p / len(sample) and _g2(k, p, often[w] - k, n) > 6}
+            pos[w] += share * x
+            often[w] += x
+            seen[w] += share
+            rows[w] += 1
+    every = weight.sum()
+    p = (chance * weight).sum()
+    n = every - p
+    learned = {w for w, k in pos.items() if seen[w] >= 1.4 and len(w) >= 4 and _LATIN.fullmatch(w) and k / often[w] > 4 * p / every and _g2(k, p, often[w] - k, n) > 6}
     lexicon = latin | learned
-    common = {w for w, c in often.items() if c >= 4 and w not in lexicon}
+    common = {w for w, c in rows.items() if c >= 4 and w not in lexicon}
     reader = Words(lexicon, common, phrases)
-    docs = [[*reader.windows(t)] for t, _, _ in sample]
-    windows = _Windows(docs)
+    docs = [[*reader.windows(t)] for t, *_ in sample]
+    windows = _Windows(docs, weight)
     odds, guilt = _settled(windows, votes, rounds)
     # pairs of syllables that stand in guilty windows, and next to nowhere else but in glossaries: terms the list lacks
-    k, c = Counter(), Counter()
+    k, c, told = Counter(), Counter(), Counter()
     flat = [w for d in docs for w in d]
-    for words, share in zip(flat, guilt):
+    for words, share, x in zip(flat, guilt, windows.weight):
         for pair in zip(words, words[1:]):
             if "ༀ" <= pair[0][0] <= "࿿" and "ༀ" <= pair[1][0] <= "࿿":
-                c[pair] += 1
-                k[pair] += share
-    function = {w for w, x in often.items() if x > len(sample) / 25}
-    total = float(guilt.sum())
-    new = {q for q, x in k.items() if x >= 1.2 and x > 0.25 * c[q] and not function & set(q) and _g2(x, total, c[q] - x, len(flat) - total) > 10}
+                c[pair] += x
+                k[pair] += share * x
+                told[pair] += share
+    function = {w for w, x in often.items() if x > every / 25}
+    total, rest = float((guilt * windows.weight).sum()), float(((1 - guilt) * windows.weight).sum())
+    new = {q for q, x in k.items() if told[q] >= 1.2 and x > 0.25 * c[q] and not function & set(q) and _g2(x, total, c[q] - x, rest) > 10}
     if new:
         phrases = phrases | {q: "<term>" for q in new}
         docs = [Words._tagged_list(phrases, d) for d in docs]
-        windows = _Windows(docs)
+        windows = _Windows(docs, weight)
         odds, guilt = _settled(windows, votes, rounds)
     return Model(lexicon, common, phrases, {g: float(x) for g, x in zip(windows.names, odds) if x > NONE})
 
@@ -389,13 +399,18 @@ def _scored(batches, shared):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer.scores(batch.column("text").to_pylist()))], ["id", "score"])
 
 
-def labelled_sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str, positives: int, negatives: int) -> list[tuple[str, int, int]]:
-    """Labelled documents with their votes: all, up to the bounds, else the first by a hash of the number."""
+def labelled_sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str, positives: int, negatives: int) -> list[tuple[str, int, int, float]]:
+    """Labelled documents with their votes: all, up to the bounds, else the first by a hash of the number.
+
+    The last field is how many labelled documents of its class, with or without a positive vote, a row stands for.
+    """
     votes = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label).cast("int").alias("vote"), F.col(rater).cast("string").alias("rater")).where("id is not null and vote in (0, 1)").distinct()
     each = votes.groupBy("id").agg(F.sum("vote").alias("k"), F.count("*").alias("n"))
+    sizes = each.agg(F.count_if(F.col("k") > 0), F.count_if(F.col("k") == 0)).first()
+    stands = [max(1.0, all_ / most) if most else 0.0 for all_, most in zip(sizes, (positives, negatives))]
     some = each.where("k > 0").orderBy(F.xxhash64("id")).limit(positives).unionByName(each.where("k = 0").orderBy(F.xxhash64("id")).limit(negatives))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    return [(r[1], r[2], r[3]) for r in rows.join(F.broadcast(some), "id").select("id", "text", "k", "n").orderBy("id").collect()]
+    return [(r[1], r[2], r[3], stands[0 if r[2] else 1]) for r in rows.join(F.broadcast(some), "id").select("id", "text", "k", "n").orderBy("id").collect()]
 
 
 def scored(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str, terms: DataFrame, term: str, category: str, positives: int = 3000, negatives: int = 4000, keep: dict[str, Column] | None = None) -> DataFrame:

@@ -192,3 +192,32 @@ def test_worst_window_belongs_to_its_document():
     m = abuse.Model(set(), set(), {}, {("nasty",): 3.0, ("nasty", "words"): 3.0, ("words",): 3.0})
     s = abuse.Scorer(m)
     assert s.scores(["fine text. more", "nasty words here", None, "", "x. nasty words"]).round(3).tolist() == [abuse.NONE, 3.0, abuse.NONE, abuse.NONE, 3.0]
+
+
+def _weighed(spark, docs, labels, positives, negatives):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, abusive int, rater string")
+    return abuse.labelled_sample(d, "doc_id", "text", lab, "doc_id", "abusive", "rater", positives, negatives)
+
+
+def test_abuse_odds_are_the_same_where_the_sample_is_cut(spark):
+    rng = random.Random(6)
+    noun = ["verse", "folio", "index", "margin", "colophon"]
+    docs, labels = [], []
+    for k in range(2400):
+        guilty = k % 12 == 0
+        text = [f"I copied the {rng.choice(noun)} by hand." for _ in range(3)]
+        if guilty:
+            text.append("You filthy moron, get lost.")
+        elif k % 3 == 1:
+            text.append("You filthy stream, run clear.")
+        docs.append((k, " ".join(text)))
+        labels.append((k, int(guilty), "r1"))
+    whole = _weighed(spark, docs, labels, 3000, 4000)
+    cut = _weighed(spark, docs, labels, 150, 220)
+    assert {x for *_, x in whole} == {1.0} and len(cut) == 370
+    assert sum(x for *_, x in cut) == pytest.approx(2400) and {round(x, 6) for _, k, _, x in cut if k} == {round(200 / 150, 6)}
+    a, b = (abuse.fit(s, [("moron", "insult")]) for s in (whole, cut))
+    assert a.lexicon == b.lexicon
+    for g in (("you", "filthy"), ("filthy",), ("<insult>",)):
+        assert b.weights[g] == pytest.approx(a.weights[g], abs=0.35), g
