@@ -116,20 +116,45 @@ def distant_pairs(near: DataFrame, texts: DataFrame, id_col: str, text: str, lea
 def random_pairs(df: DataFrame, id_col: str, text: str, k: int, more_words: int, seed: int, tries: int = 20) -> DataFrame:
     """Pairs of rows that a hash throws together: in each of some rounds neighbours in hash order form pairs.
 
-    Pairs that came before and pairs that differ by too few words are dropped; the first k by hash stay.
+    Rounds go on until k pairs are there or tries pairs were drawn for each wanted one; a table without more pairs than
+    that gives all of them.  Pairs that came before and pairs that differ by too few words are dropped; the first k by
+    hash stay.  The numbers of k pairs are collected.
     """
-    n = df.count()
-    rounds = max(1, min(tries, -(-2 * k * 2 // max(n, 1))))
     rows = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).where("_t is not null")
-    out = None
-    for r in range(rounds):
-        mixed = rows.withColumn("_h", hash_order(f"{seed}-{r}", "_id")).withColumn("_cell", F.substring("_h", 1, 4))
-        after = Window.partitionBy("_cell").orderBy("_h", "_id")
-        p = mixed.select("_id", "_t", F.lead("_id").over(after).alias("o"), F.lead("_t").over(after).alias("ot")).where("o is not null")
-        p = p.select(F.least("_id", "o").alias("id_a"), F.greatest("_id", "o").alias("id_b"), F.when(F.col("_id") < F.col("o"), F.col("_t")).otherwise(F.col("ot")).alias("SentenceA"), F.when(F.col("_id") < F.col("o"), F.col("ot")).otherwise(F.col("_t")).alias("SentenceB"))
-        out = p if out is None else out.unionByName(p)
-    far = out.dropDuplicates(["id_a", "id_b"]).where(word_distance("SentenceA", "SentenceB") > more_words)
-    return far.orderBy(hash_order(seed, "id_a", "id_b"), "id_a", "id_b").limit(k).withColumn("FaissDistance", F.lit(None).cast("double"))
+    n = rows.count()
+    ends = ["id_a", "id_b", "SentenceA", "SentenceB"]
+    order = [hash_order(seed, "id_a", "id_b"), F.col("id_a"), F.col("id_b")]
+
+    def far(pairs: DataFrame) -> DataFrame:
+        return pairs.where(word_distance("SentenceA", "SentenceB") > more_words).dropDuplicates(["id_a", "id_b"])
+
+    def first(pairs: DataFrame) -> list:
+        return far(pairs.where("id_a <> id_b")).orderBy(*order).limit(k).select("id_a", "id_b").collect()
+
+    if n * (n - 1) // 2 <= tries * k:
+        every = rows.agg(F.sort_array(F.collect_list(F.struct("_id", "_t"))).alias("all")).select("all", F.posexplode("all").alias("i", "x"))
+        every = every.select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(max(n, 1)))).alias("y"))
+        found = first(every.select("x._id", "y._id", "x._t", "y._t").toDF(*ends))
+    else:
+        cells = max(1, min(65536, n // 64))
+        most = -(-tries * k // (n - cells))
+        rounds, found = max(1, min(most, -(-2 * k // (n - cells)))), []
+        while True:
+            mixed = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+            mixed = mixed.withColumn("_h", F.md5(F.concat_ws("|", F.concat(F.lit(f"{seed}-"), "_r"), F.col("_id").cast("string"))))
+            mixed = mixed.withColumn("_cell", F.pmod(F.xxhash64("_h"), F.lit(cells)))
+            after = Window.partitionBy("_r", "_cell").orderBy("_h", "_id")
+            p = mixed.select("_id", "_t", F.lead("_id").over(after).alias("o"), F.lead("_t").over(after).alias("ot")).where("o is not null")
+            ahead = F.col("_id") < F.col("o")
+            found = first(p.select(F.least("_id", "o"), F.greatest("_id", "o"), F.when(ahead, F.col("_t")).otherwise(F.col("ot")), F.when(ahead, F.col("ot")).otherwise(F.col("_t"))).toDF(*ends))
+            if len(found) >= k or rounds >= most:
+                break
+            rounds = min(most, 2 * rounds)
+    kind = rows.schema["_id"].dataType.simpleString()
+    keys = F.broadcast(df.sparkSession.createDataFrame(found, f"id_a {kind}, id_b {kind}"))
+    with_a = rows.toDF("id_a", "SentenceA").join(keys, "id_a")
+    both = rows.toDF("id_b", "SentenceB").join(F.broadcast(with_a), "id_b")  # k rows
+    return far(both.select(*ends)).orderBy(*order).limit(k).withColumn("FaissDistance", F.lit(None).cast("double"))
 
 
 def cluster_pairs(df: DataFrame, id_col: str, vec: str, clusters: int, pairs: int, seed: int, tries: int = 3) -> DataFrame:

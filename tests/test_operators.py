@@ -214,3 +214,13 @@ def test_hooks(spark):
     got = hooks.encode_distinct(df, "t", hooks.encoder(hooks.hash_embedding), "e").collect()
     assert sum(r["e"] is not None for r in got) == 2
     assert df.select(hooks.pair_scorer(lambda a, b: [float(len(x)) for x in a])("t", "t").alias("s")).count() == 3
+
+
+def test_random_pairs_of_small_tables_are_as_many_as_asked_for(spark):
+    for n, k, want in ((1000, 250, 250), (120, 250, 250), (10, 250, 45), (1, 5, 0)):
+        df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(n)] + [(-1, None)], "id long, t string")
+        got = sampling.random_pairs(df, "id", "t", k, 5, 42).collect()
+        assert len({(r["id_a"], r["id_b"]) for r in got}) == len(got) == want
+        assert all(r["id_a"] < r["id_b"] and r["SentenceA"].startswith(f"w{r['id_a']}x") and r["SentenceB"].startswith(f"w{r['id_b']}x") for r in got)
+    near = spark.createDataFrame([(i, f"same words all over but {i}") for i in range(200)], "id long, t string")
+    assert sampling.random_pairs(near, "id", "t", 20, 5, 42).count() == 0
