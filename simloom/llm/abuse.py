@@ -9,7 +9,8 @@ a glossary entry, a quotation or a story.  A document has the score of its worst
 
 The weights are fitted on a bounded sample of labelled documents (``positives`` and ``negatives`` rows at most), in which
 a document stands for as many labelled ones of its class as the bound leaves out, so shares and odds are those of all
-labelled documents; only bars on how often a thing was seen count sampled documents.  Labels
+labelled documents; only bars on how often a thing was seen count sampled documents.  Which words are too common to be
+misspellings is counted over all documents.  Labels
 belong to documents and are noisy, so fitting alternates between choosing each document's guilty windows, the log odds of
 sequences, and the chance that each label is right given the raters' votes.  Pairs of syllables that only guilty
 windows have become terms.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ MISSED, FALSE = 0.12, 0.04  # how often a rater misses abuse, and sees it where
 WINDOW = 48
 BASE = 0.06  # share of abusive documents before any evidence
 TOP, NONE, THRESHOLD = 3, -4.0, 2.4
+COMMON, COMMON_SHARE = 4, 1 / 5000  # documents, and share of all, from which a word is no misspelling
 
 
 class LexiconTrie:
@@ -241,8 +244,11 @@ def _settled(windows: _Windows, votes: np.ndarray, rounds: int):
     return windows.odds(guilt, alone=False), guilt
 
 
-def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]], rounds: int = 6) -> Model:
-    """The model from (text, positive votes, votes, labelled documents it stands for) and (term, category)."""
+def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]], rounds: int = 6, common_words: Callable[[set[str]], set[str]] | None = None) -> Model:
+    """The model from (text, positive votes, votes, labelled documents it stands for) and (term, category).
+
+    common_words gives, for a lexicon, the words near it that are no misspellings; without it the sample decides.
+    """
     listed = Words()
     phrases: dict[tuple[str, ...], str] = {}
     latin = set()
@@ -269,7 +275,7 @@ def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]],
     n = every - p
     learned = {w for w, k in pos.items() if seen[w] >= 1.4 and len(w) >= 4 and _LATIN.fullmatch(w) and k / often[w] > 4 * p / every and _g2(k, p, often[w] - k, n) > 6}
     lexicon = latin | learned
-    common = {w for w, c in rows.items() if c >= 4 and w not in lexicon}
+    common = common_words(lexicon) if common_words else {w for w, c in rows.items() if c >= COMMON and w not in lexicon}
     reader = Words(lexicon, common, phrases)
     docs = [[*reader.windows(t)] for t, *_ in sample]
     windows = _Windows(docs, weight)
@@ -294,6 +300,18 @@ def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]],
     return Model(lexicon, common, phrases, {g: float(x) for g, x in zip(windows.names, odds) if x > NONE})
 
 
+def _parts(text: str) -> str:
+    """The text in one form, without notes, spaced words closed up."""
+    text = canon(text)
+    if "[" in text:
+        text = NOTE.sub(" ", text)
+    if "་" in text:
+        text = text.replace("་", " ")
+    if _MAYBE_SPACED.search(text):
+        text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+    return text
+
+
 class Scorer:
     """The model over whole batches: words as numbers, word sequences as numbers of them, sums by window."""
 
@@ -324,13 +342,7 @@ class Scorer:
 
     def numbers(self, text: str) -> list[int]:
         """Numbers of the words, 0 for words without weight, -1 between sentences."""
-        text = canon(text)
-        if "[" in text:
-            text = NOTE.sub(" ", text)
-        if "་" in text:
-            text = text.replace("་", " ")
-        if _MAYBE_SPACED.search(text):
-            text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+        text = _parts(text)
         get, new = self.cache.get, self._new
         found = [get(r) or new(r) if get(r) != 0 else 0 for r in _SENTENCE.sub(" \0 ", text).split()]
         if -2 in found:
@@ -399,6 +411,36 @@ def _scored(batches, shared):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer.scores(batch.column("text").to_pylist()))], ["id", "score"])
 
 
+def _near_lexicon(batches, shared, limit: int = 500_000):
+    """(word, documents): words that would be read as a lexicon word, and under "" all documents with text."""
+    plain, read, cache, found = Words(), Words(shared.value), {}, Counter()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if not text:
+                continue
+            found[""] += 1
+            if len(cache) >= limit:
+                cache = {}
+            near = set()
+            for raw in set(_SENTENCE.sub(" ", _parts(text)).split()):
+                w = cache.get(raw)
+                if w is None:
+                    w = plain.plain(raw)
+                    w = cache[raw] = w if w != read.plain(raw) else ""
+                if w:
+                    near.add(w)
+            found.update(near)
+    yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], ["word", "n"])
+
+
+def common_near(docs: DataFrame, text: str, lexicon: set[str]) -> set[str]:
+    """Words within the automaton's reach of the lexicon that stand in too many of all documents to be misspellings."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    each = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lambda it: _near_lexicon(it, shared), "word string, n long")
+    counts = dict(each.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).collect())  # near words only
+    return {w for w, n in counts.items() if w and n >= counts[""] * COMMON_SHARE}
+
+
 def labelled_sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str, positives: int, negatives: int) -> list[tuple[str, int, int, float]]:
     """Labelled documents with their votes: all, up to the bounds, else the first by a hash of the number.
 
@@ -416,7 +458,7 @@ def labelled_sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame,
 def scored(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str, terms: DataFrame, term: str, category: str, positives: int = 3000, negatives: int = 4000, keep: dict[str, Column] | None = None) -> DataFrame:
     """(id, score, keep...): every document; a score above THRESHOLD (log odds) counts as abusive."""
     listed = sorted((r[0], r[1] or "other") for r in terms.select(F.col(term).cast("string"), F.col(category).cast("string")).where(F.col(term).isNotNull()).distinct().limit(100_000).collect())
-    model = fit(labelled_sample(docs, doc_id, text, labels, label_id, label, rater, positives, negatives), listed)
+    model = fit(labelled_sample(docs, doc_id, text, labels, label_id, label, rater, positives, negatives), listed, common_words=lambda lexicon: common_near(docs, text, lexicon))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((id(model), model))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(c.alias(n) for n, c in (keep or {}).items())).where("id is not null")

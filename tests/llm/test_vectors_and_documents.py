@@ -221,3 +221,14 @@ def test_abuse_odds_are_the_same_where_the_sample_is_cut(spark):
     assert a.lexicon == b.lexicon
     for g in (("you", "filthy"), ("filthy",), ("<insult>",)):
         assert b.weights[g] == pytest.approx(a.weights[g], abs=0.35), g
+
+
+def test_abuse_common_words_are_counted_over_all_documents(spark):
+    fine, bad = "We read the verse together.", "You are a moron, get lost."
+    docs = [(k, bad if k % 8 == 0 else fine) for k in range(200)] + [(k, "We read the boron together.") for k in range(200, 230)] + [(230, "You are a morron, get lost.")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, int(k % 8 == 0), "r1") for k in range(200)], "doc_id long, abusive int, rater string")
+    assert abuse.common_near(d, "text", {"moron"}) == {"boron"}
+    terms = spark.createDataFrame([("moron", "insult")], "term string, category string")
+    score = {r["id"]: r["score"] for r in abuse.scored(d, "doc_id", "text", lab, "doc_id", "abusive", "rater", terms, "term", "category").collect()}
+    assert score[200] == score[1] and score[230] == score[0] > abuse.THRESHOLD
