@@ -157,8 +157,11 @@ def random_pairs(df: DataFrame, id_col: str, text: str, k: int, more_words: int,
     return far(both.select(*ends)).orderBy(*order).limit(k).withColumn("FaissDistance", F.lit(None).cast("double"))
 
 
-def cluster_pairs(df: DataFrame, id_col: str, vec: str, clusters: int, pairs: int, seed: int, tries: int = 3) -> DataFrame:
-    """Pairs drawn across and within spherical k-means clusters: (cluster_a, cluster_b, id_a, id_b, cosine_norm)."""
+def cluster_pairs(df: DataFrame, id_col: str, vec: str, clusters: int, pairs: int, seed: int, tries: int = 10) -> DataFrame:
+    """Pairs drawn across and within spherical k-means clusters: (cluster_a, cluster_b, id_a, id_b, cosine_norm).
+
+    Of tries runs of k-means, with seeds of their own, the one of least training cost counts.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -224,3 +224,14 @@ def test_random_pairs_of_small_tables_are_as_many_as_asked_for(spark):
         assert all(r["id_a"] < r["id_b"] and r["SentenceA"].startswith(f"w{r['id_a']}x") and r["SentenceB"].startswith(f"w{r['id_b']}x") for r in got)
     near = spark.createDataFrame([(i, f"same words all over but {i}") for i in range(200)], "id long, t string")
     assert sampling.random_pairs(near, "id", "t", 20, 5, 42).count() == 0
+
+
+def test_cluster_pairs_take_the_best_of_ten_runs(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    fit, seeds = KMeans.fit, []
+    monkeypatch.setattr(KMeans, "fit", lambda self, df: (seeds.append(self.getSeed()), fit(self, df))[1])
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)], "id long, v array<double>")
+    assert sampling.cluster_pairs(df, "id", "v", 3, 5, 42).count() > 0
+    assert len(set(seeds)) == 10
