@@ -1,28 +1,32 @@
 """Problem 10: abusive, hateful and sexually explicit language.
 
 Words are brought to one form first (look-alikes, case, letter-for-digit spellings, repeated, masked, spaced and cut
-letters); what is not a known word is looked up in a trie of lexicon words by a Levenshtein automaton that walks the
-trie, so misspelt terms count as the terms.  The lexicon is the given list of terms and the words that reviewers'
-labels show to be as telling.  A sentence is a window: its score is the mean log odds of its three most telling word
-sequences (of up to three words, terms by their category), by which the same term scores high in an insult and low in
-a glossary entry, a quotation or a story.  A document has the score of its worst window.
+letters).  Every word is then looked up in a trie of lexicon words by a Levenshtein automaton that walks the trie: what
+is within one edit (two from nine letters) of a lexicon word, and no ordinary word of the corpus, is that word.  The
+lexicon is the given list of terms and the words and pairs of syllables that reviewers' labels show to be as telling.
+Terms of two Tibetan syllables are found by the syllable that is right and a walk over the other.
+
+Only a find of the trie opens a context window: the words around it in its sentence.  A window's score is the log odds
+of a logistic model over its word sequences of up to three words, terms by their category, so that the same term
+scores high in an insult and low in a glossary entry, a quotation or a story.  A document has the score of its worst
+window, less the threshold: above 0 is abusive.
 
 The weights are fitted on a bounded sample of labelled documents (``positives`` and ``negatives`` rows at most), in which
-a document stands for as many labelled ones of its class as the bound leaves out, so shares and odds are those of all
-labelled documents; only bars on how often a thing was seen count sampled documents.  Which words are too common to be
-misspellings is counted over all documents.  Labels
-belong to documents and are noisy, so fitting alternates between choosing each document's guilty windows, the log odds of
-sequences, and the chance that each label is right given the raters' votes.  Pairs of syllables that only guilty
-windows have become terms.
-
-Cases: null and empty texts have the least score; a document without label counts as unlabelled; votes of null
-and repeated votes of a rater don't count; without any positive label only the listed terms score; a missing source is
-'unknown'.
+a document stands for as many labelled ones of its class as the bound leaves out.  Which words are too common to be
+misspellings is counted over all documents.  Labels belong to documents and are noisy, so fitting alternates between
+choosing each document's guilty windows by models that did not see it, and the chance that each label is right given
+the raters' votes.  Where labels say little, weights stay near those of ``PRIOR``.  The threshold is the one with which
+models that did not see a document tell labels best.
+
+Cases: null and empty texts, and texts without a lexicon word, have the least score; a document without label counts as
+unlabelled; votes of null and repeated votes of a rater don't count; without any positive label the prior weights
+score; a missing source is 'unknown'.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
 
@@ -41,11 +45,25 @@ _SPACED = re.compile(r"(?<![^\s\"(])(?:[^\W\d_] ){2,}[^\W\d_](?![^\s.,;:?!\")])"
 _MAYBE_SPACED = re.compile(r" [^\W\d_] [^\W\d_] ")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _LATIN = re.compile(r"[a-z]+")
-MISSED, FALSE = 0.12, 0.04  # how often a rater misses abuse, and sees it where there is none
-WINDOW = 48
+MISSED, FALSE = 0.06, 0.04  # how often a rater misses abuse, and sees it where there is none
+AROUND = 16  # words on either side of a find that make its window
 BASE = 0.06  # share of abusive documents before any evidence
-TOP, NONE, THRESHOLD = 3, -4.0, 2.4
+NONE = -12.0
 COMMON, COMMON_SHARE = 4, 1 / 5000  # documents, and share of all, from which a word is no misspelling
+# Weights before any label: terms count more when they address somebody, less where language itself is the subject.
+PRIOR = {
+    "<insult>": 1.3, "<hate>": 1.0, "<sexual>": 0.8, "<term>": 1.3, "you": 1.5, "your": 1.5, "ཁྱོད": 1.5, "they": 0.5,
+    "word": -1.5, "term": -1.5, "means": -1.5, "meaning": -1.5, "entry": -1.5, "dictionary": -1.5, "glossary": -1.5, "verse": -1.0, "says": -1.0, "called": -1.0, "ཞེས": -1.5,
+}
+RIDGE = 0.15  # pull of the weights to those
+THRESHOLD = 0.0
+#: Most terms that are broadcast.
+MOST_TERMS = 100_000
+
+
+def edits(letters: int) -> int:
+    """Edits within which a word counts as a lexicon word of so many letters."""
+    return 0 if letters < 5 else 1 if letters < 9 else 2
 
 
 class LexiconTrie:
@@ -59,15 +77,18 @@ class LexiconTrie:
                 node = node.setdefault(c, {})
             node["\0"] = w
 
-    def nearest(self, word: str, most: int, wild: str = "*") -> str | None:
-        """The word at the least edit distance up to most (smallest word among equals); wild stands for any one letter."""
+    def nearest(self, word: str, most: int, allowed: Callable[[int], int] | None = None, wild: str = "*") -> str | None:
+        """The word at the least edit distance up to most, and up to what its length allows; the smallest among equals.
+
+        The wild sign stands for any one letter.
+        """
         best: tuple[int, str] | None = None
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
             for c, child in node.items():
                 if c == "\0":
-                    if row[-1] <= most and (best is None or (row[-1], child) < best):
+                    if row[-1] <= (allowed(len(child)) if allowed else most) and (best is None or (row[-1], child) < best):
                         best = (row[-1], child)
                     continue
                 new = [row[0] + 1]
@@ -78,25 +99,52 @@ class LexiconTrie:
         return best[1] if best else None
 
 
-class Words:
-    """Text to windows of words in one form."""
+class Lexicon:
+    """What is looked for: words, terms of several words by their tag, and what is too common to be a misspelling."""
+
+    def __init__(self, words: set[str], phrases: dict[tuple[str, ...], str], common: set[str] = frozenset()):
+        self.words, self.phrases, self.common = words, phrases, common
+
 
-    def __init__(self, lexicon: set[str] = frozenset(), common: set[str] = frozenset(), phrases: dict[tuple[str, ...], str] | None = None, limit: int = 300_000):
-        self.lexicon, self.common, self.limit = lexicon, common, limit
-        self.trie = LexiconTrie(sorted(lexicon)) if lexicon else None
-        self.cache: dict[str, str] = {}
-        self.phrases = phrases or {}
+class Reader:
+    """Text to numbers: a word's number in the vocabulary, 0 for words without one, -1 between sentences."""
+
+    def __init__(self, lexicon: Lexicon, numbers: dict[str, int], grow: bool = False, limit: int = 500_000):
+        self.lexicon, self.numbers, self.grow, self.limit = lexicon, numbers, grow, limit
+        self.trie = LexiconTrie(sorted(lexicon.words))
+        self.cache: dict[str, int] = {"\0": -1}
+        self.forms: dict[str, str] = {}
+        for w in [*lexicon.words, *lexicon.phrases.values(), "<near>", *(x for p in lexicon.phrases for x in p)]:
+            self._number(w)
+        self.finds = {numbers[w] for w in [*lexicon.words, *lexicon.phrases.values(), "<near>"] if w in numbers}
+        self.phrases = {tuple(numbers[w] for w in p): numbers[t] for p, t in lexicon.phrases.items() if all(w in numbers for w in p) and t in numbers}
         self.heads = {p[0] for p in self.phrases}
         self.longest = max((len(p) for p in self.phrases), default=0)
-
-    def plain(self, raw: str) -> str:
+        # terms of two syllables: by the one that is right, a trie of the other
+        self.after, self.before = {}, {}
+        for p in lexicon.phrases:
+            if len(p) == 2 and p[0] in numbers and p[1] in numbers and "ༀ" <= p[0][0] <= "࿿":
+                self.after.setdefault(numbers[p[0]], set()).add(p[1])
+                self.before.setdefault(numbers[p[1]], set()).add(p[0])
+        self.after = {k: LexiconTrie(sorted(v)) for k, v in self.after.items()}
+        self.before = {k: LexiconTrie(sorted(v)) for k, v in self.before.items()}
+        self.sides = {*self.after, *self.before}
+        self.pairs: dict[tuple[int, str, bool], bool] = {}
+
+    def _number(self, w: str) -> int:
+        if self.grow:
+            return self.numbers.setdefault(w, len(self.numbers) + 1)
+        return self.numbers.get(w, 0)
+
+    def form(self, raw: str) -> str:
+        """A word in one form, before any lookup."""
         w = raw.strip(EDGE)
         if not w or "ༀ" <= w[0] <= "࿿":
             return w
         if w[:1].isupper() and (w[1:].islower() or w.isupper() or not w[1:].isascii()) or (w.upper() == w and len(w) > 2 and "+" not in w):
             w = w.lower()
         script = to_script(w)
-        if script:
+        if script and w not in self.lexicon.words:
             return script
         w = w.lower()
         if not any(c.isalpha() for c in w):
@@ -105,111 +153,209 @@ class Words:
             tail = w.rstrip("!")
             w = tail.translate(LEET) if any(c.isalpha() for c in tail) else tail
             w = "".join(c for c in w if c.isalpha() or c in "*'")
-        w = _REPEAT.sub(r"\1", w).strip("'")
-        if self.trie is None or w in self.lexicon or w in self.common:
+        return _REPEAT.sub(r"\1", w).strip("'")
+
+    def plain(self, raw: str) -> str:
+        """The lexicon word that the trie finds for a word, else the word in one form."""
+        w = self.form(raw)
+        if not w or "ༀ" <= w[0] <= "࿿" or w in self.lexicon.common:
             return w
-        if "*" in w:
-            return self.trie.nearest(w, 0) or w
-        if len(w) >= 5 and w.isascii():
-            return self.trie.nearest(w, 1 if len(w) < 9 else 2) or w
-        return w
-
-    def word(self, raw: str) -> str:
-        w = self.cache.get(raw)
-        if w is None:
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            w = self.cache[raw] = self.plain(raw)
-        return w
-
-    def windows(self, text: str | None):
-        """Lists of words; long sentences are cut with an overlap of half a window."""
-        if not text:
-            return
+        return self.trie.nearest(w, 0 if "*" in w else 1 if len(w) < 8 else 2, None if "*" in w else edits) or w
+
+    def _new(self, raw: str) -> int:
+        if len(self.cache) >= self.limit:
+            self.cache = {"\0": -1}
+        w = self.plain(raw)
+        v = self.cache[raw] = self._number(w) if w else -2
+        return v
+
+    def _near(self, side: int, raw: str, after: bool) -> bool:
+        """Whether the raw word beside the right syllable of a term is within an edit of the term's other one."""
+        key = (side, raw, after)
+        v = self.pairs.get(key)
+        if v is None:
+            if len(self.pairs) >= self.limit:
+                self.pairs.clear()
+            trie = (self.after if after else self.before).get(side)
+            w = self.form(raw) if trie else ""
+            found = trie.nearest(w, 1, lambda n: int(n > 2)) if w and "ༀ" <= w[0] <= "࿿" else None
+            v = self.pairs[key] = found is not None and found != w
+        return v
+
+    def parts(self, text: str) -> list[str]:
+        """Words as written, without notes, spaced words closed up; '\\0' between sentences."""
         text = canon(text)
         if "[" in text:
             text = NOTE.sub(" ", text)
-        if _SPACED.search(text):
+        if "་" in text:
+            text = text.replace("་", " ")
+        if _MAYBE_SPACED.search(text) or text[1:2] == " ":
             text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
-        text = text.replace("་", " ")
-        for sentence in _SENTENCE.split(text):
-            words = [w for w in map(self.word, sentence.split()) if w]
-            if self.heads and not self.heads.isdisjoint(words):
-                words = self._tagged(words)
-            for s in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-                if words:
-                    yield words[s : s + WINDOW]
-
-    @staticmethod
-    def _tagged_list(phrases: dict[tuple[str, ...], str], windows: list[list[str]]) -> list[list[str]]:
-        w = Words(phrases=phrases)
-        return [w._tagged(x) for x in windows]
-
-    def _tagged(self, words: list[str]) -> list[str]:
-        out, k = [], 0
-        while k < len(words):
-            for n in range(self.longest, 0, -1):
-                if tag := self.phrases.get(tuple(words[k : k + n])):
-                    out.append(tag)
-                    k += n
-                    break
-            else:
-                out.append(words[k])
-                k += 1
+        return _SENTENCE.sub(" \0 ", text).split()
+
+    def __call__(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        raws = self.parts(text)
+        get, new = self.cache.get, self._new
+        found = [v if (v := get(r)) is not None else new(r) for r in raws]
+        if -2 in found:
+            raws = [r for r, v in zip(raws, found) if v != -2]
+            found = [v for v in found if v != -2]
+        if self.sides.isdisjoint(found) and self.heads.isdisjoint(found):
+            return found
+        out, k, n = [], 0, len(found)
+        while k < n:
+            v = found[k]
+            if v in self.heads:
+                for m in range(self.longest, 0, -1):
+                    if tag := self.phrases.get(tuple(found[k : k + m])):
+                        out.append(tag)
+                        k += m
+                        break
+                if tag:
+                    continue
+            if k + 1 < n and (v in self.after and self._near(v, raws[k + 1], True) or found[k + 1] in self.before and self._near(found[k + 1], raws[k], False)):
+                out.append(self.numbers.get("<near>", 0))
+                k += 2
+                continue
+            out.append(v)
+            k += 1
         return out
 
 
-def grams(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
+class Batch:
+    """Texts as one array of numbers, with the windows around finds: owner (text), first and last position."""
+
+    def __init__(self, reader: Reader, texts: list[str | None]):
+        flat, ends = [-1], []
+        for text in texts:
+            flat += reader(text)
+            flat += (-1, -1, -1)
+            ends.append(len(flat))
+        self.a = a = np.array(flat, np.int64)
+        at = np.flatnonzero(np.isin(a, np.fromiter(reader.finds, np.int64, len(reader.finds))))
+        marks = np.flatnonzero(a == -1)
+        nth = np.searchsorted(marks, at)
+        lo, hi = np.maximum(at - AROUND, marks[nth - 1] + 1), np.minimum(at + AROUND + 1, marks[np.minimum(nth, len(marks) - 1)])
+        self.owner = np.searchsorted(np.array(ends, np.int64), at, side="right")
+        if len(at):  # finds that share a window make one
+            keep = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+            lo, hi, self.owner = lo[keep], hi[keep], self.owner[keep]
+        self.lo, self.hi, self.texts = lo, hi, len(texts)
+
+    def grams(self, base: int):
+        """For sequences of 1, 2 and 3 words: their codes at every position, and where they stay within a sentence and the vocabulary."""
+        a, code, valid = self.a, np.zeros(len(self.a), np.int64), np.ones(len(self.a), bool)
+        for n in range(3):
+            shifted = np.append(a[n:], np.full(n, -1))[: len(a)]
+            code = code * base + shifted
+            valid = valid & (shifted > 0)
+            yield code, valid
+
+    def worst(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(self.texts, NONE)
+        np.maximum.at(out, self.owner, values)
+        return out
 
 
 class Model:
-    """Log odds of word sequences; a window's score is the mean of its three most telling ones."""
-
-    def __init__(self, lexicon, common, phrases, weights: dict[tuple[str, ...], float]):
-        self.lexicon, self.common, self.phrases, self.weights = lexicon, common, phrases, weights
-
-    def words(self) -> Words:
-        return Words(self.lexicon, self.common, self.phrases)
-
-    def score(self, words: list[str]) -> float:
-        best = sorted((self.weights.get(g, NONE) for g in grams(words)), reverse=True)[:TOP]
-        return sum([*best, *[NONE] * (TOP - len(best))]) / TOP
-
-
-def top_means(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
-    """By group the mean of its TOP greatest values, missing ones being NONE."""
-    order = np.lexsort((-value, group))
-    g, v = group[order], value[order]
-    first = np.searchsorted(g, g, side="left")
-    keep = np.arange(len(g)) - first < TOP
-    return NONE + np.bincount(g[keep], v[keep] - NONE, groups) / TOP
-
-
-class _Windows:
-    """Windows of the labelled documents by their sequences."""
-
-    def __init__(self, docs: list[list[list[str]]], weight: np.ndarray):
-        sets = [[grams(w) for w in d] for d in docs]
-        seen = Counter(g for d in sets for g in set().union(*d))
-        self.names = sorted(g for g, n in seen.items() if n > 1)
-        index = {g: k for k, g in enumerate(self.names)}
-        rows = [[index[g] for g in w if g in index] for d in sets for w in d]
-        self.owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        self.flat = np.array([k for r in rows for k in r], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.count, self.docs = len(rows), len(docs)
-        self.weight = weight[self.owner]  # by window
-        self.n = np.bincount(self.flat, self.weight[self.row], len(self.names))
-
-    def odds(self, guilt: np.ndarray, alone: bool) -> np.ndarray:
-        """Log odds of guilt by sequence; with alone, at each place without the window's own part."""
-        own, each = guilt[self.row], self.weight[self.row]
-        seen, k, n = np.bincount(self.flat, own, len(self.names)), np.bincount(self.flat, own * each, len(self.names)), self.n
-        if alone:
-            seen, k, n = seen[self.flat] - own, k[self.flat] - own * each, n[self.flat] - each
-        out = np.log((k.clip(0) + BASE * 0.3) / ((n - k).clip(0) + (1 - BASE) * 0.3))
-        return np.where(seen >= 0.4, out, NONE).clip(NONE)
+    """The lexicon, the vocabulary's numbers, a bias and the weights of word sequences by length and code; the threshold is in the bias."""
+
+    def __init__(self, lexicon: Lexicon, numbers: dict[str, int], base: int, bias: float, tables):
+        self.lexicon, self.numbers, self.base, self.bias, self.tables = lexicon, numbers, base, bias, tables
+        self.key = uuid.uuid4().hex  # workers keep the scorer of one model
+
+
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.reader = model, Reader(model.lexicon, model.numbers)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's worst window."""
+        batch = Batch(self.reader, texts)
+        value = np.zeros(len(batch.a))
+        for (code, valid), (at, weight) in zip(batch.grams(self.model.base), self.model.tables):
+            where = np.flatnonzero(valid)
+            if len(at) and len(where):
+                spot = np.searchsorted(at, code[where]).clip(max=len(at) - 1)
+                hit = at[spot] == code[where]
+                value[where[hit]] += weight[spot[hit]]
+        total = np.append(0.0, np.cumsum(value))
+        return batch.worst(np.maximum(self.model.bias + total[batch.hi] - total[batch.lo], NONE))
+
+
+class _Features:
+    """Windows by the sequences that stand in them, for fitting: rows, columns (with repeats), names."""
+
+    def __init__(self, batch: Batch, numbers: dict[str, int]):
+        self.base = len(numbers) + 2
+        size = batch.hi - batch.lo
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(batch.lo, size)
+        rows, cols, self.codes, start = [], [], [], 0
+        for code, valid in batch.grams(self.base):
+            ok = valid[place]
+            names, where = np.unique(code[place[ok]], return_inverse=True)
+            # only what stands in more than one document
+            pairs = np.unique(where.astype(np.int64) * (batch.texts + 1) + batch.owner[row[ok]])
+            often = np.bincount(pairs // (batch.texts + 1), minlength=len(names)) > 1
+            number = np.cumsum(often) - 1
+            keep = often[where]
+            rows.append(row[ok][keep])
+            cols.append(number[where[keep]] + start)
+            self.codes.append(names[often])
+            start += int(often.sum())
+        self.rows, self.cols, self.width = np.concatenate(rows), np.concatenate(cols), start
+        self.owner, self.count, self.docs = batch.owner, len(size), batch.texts
+
+    def prior(self, numbers: dict[str, int]) -> np.ndarray:
+        out = np.zeros(self.width)
+        known = {numbers[w]: x for w, x in PRIOR.items() if w in numbers}
+        for k, c in enumerate(self.codes[0].tolist()):
+            out[k] = known.get(c, 0.0)
+        return out
+
+
+def logistic(rows, cols, count: int, width: int, target: np.ndarray, weight: np.ndarray, prior: np.ndarray, start: tuple[float, np.ndarray], ridge: float, steps: int) -> tuple[float, np.ndarray]:
+    """Bias and weights of least weighted log loss with a ridge about the prior; by limited-memory quasi-Newton steps."""
+
+    def value(x):
+        z = x[0] + np.bincount(rows, x[1:][cols], count)
+        p = 1 / (1 + np.exp(-z.clip(-30, 30)))
+        d = x[1:] - prior
+        loss = (weight * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * ridge * (d @ d)
+        r = weight * (p - target)
+        return loss, np.append(r.sum(), np.bincount(cols, r[rows], width) + ridge * d)
+
+    x = np.append(start[0], start[1])
+    loss, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        q, alphas = g.copy(), []
+        for s, y, rho in reversed(past):
+            alphas.append(rho * (s @ q))
+            q -= alphas[-1] * y
+        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.sqrt(g @ g))
+        for (s, y, rho), alpha in zip(past, reversed(alphas)):
+            q += (alpha - rho * (y @ q)) * s
+        slope, step = g @ q, 1.0
+        if slope <= 1e-9:
+            break
+        while True:
+            new = x - step * q
+            new_loss, new_g = value(new)
+            if new_loss <= loss - 1e-4 * step * slope or step < 1e-6:
+                break
+            step /= 2
+        s, y = new - x, new_g - g
+        if s @ y > 1e-12:
+            past = [*past[-7:], (s, y, 1 / (s @ y))]
+        done = loss - new_loss < 1e-5 * abs(loss)
+        x, loss, g = new, new_loss, new_g
+        if done:
+            break
+    return float(x[0]), x[1:]
 
 
 def _right(top: np.ndarray, votes: np.ndarray) -> np.ndarray:
@@ -227,193 +373,134 @@ def _g2(k, n, other, rest):
     return 2 * (k * np.log(max(k, 1e-9) / (n * share)) + other * np.log(max(other, 1e-9) / (rest * share)))
 
 
-def _settled(windows: _Windows, votes: np.ndarray, rounds: int):
-    """Log odds by sequence, guilt by window: each from the other in turn."""
-    chance = _right(np.full(windows.docs, np.log(BASE / (1 - BASE))), votes)
-    # to begin with all windows of a document share its guilt
-    size = np.maximum(np.bincount(windows.owner, minlength=windows.docs), 1)
-    guilt = (chance / size)[windows.owner]
-    for _ in range(rounds):
-        z = top_means(windows.row, windows.odds(guilt, alone=True), windows.count)
-        top = np.full(windows.docs, NONE)
-        np.maximum.at(top, windows.owner, z)
-        chance = _right(top, votes)
-        guilt = np.where((z >= top[windows.owner]) | (z > 0), chance[windows.owner], 0.0)
-        twice = np.bincount(windows.owner, z >= top[windows.owner], windows.docs)  # ties: nothing to choose by
-        guilt /= np.where(z > 0, 1, np.maximum(twice, 1)[windows.owner])
-    return windows.odds(guilt, alone=False), guilt
-
-
-def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]], rounds: int = 6, common_words: Callable[[set[str]], set[str]] | None = None) -> Model:
+def _guilt(z: np.ndarray, f: _Features, votes: np.ndarray) -> np.ndarray:
+    """Each window's part in its document's guilt: the worst ones, and all above even odds."""
+    top = np.full(f.docs, NONE)
+    np.maximum.at(top, f.owner, z)
+    chance = _right(top, votes)[f.owner]
+    worst = z >= top[f.owner]
+    ties = np.bincount(f.owner[worst], minlength=f.docs)
+    return np.where(z > 0, chance, np.where(worst, chance / np.maximum(ties, 1)[f.owner], 0.0))
+
+
+def _held_out(f: _Features, guilt, weight, prior, folds: int, states: list, steps: int) -> np.ndarray:
+    """Every window's log odds by a model that did not see its document."""
+    z, fold = np.empty(f.count), f.owner % folds
+    row_fold = fold[f.rows]
+    for k in range(folds):
+        seen = row_fold != k
+        states[k] = logistic(f.rows[seen], f.cols[seen], f.count, f.width, guilt, np.where(fold != k, weight, 0.0), prior, states[k], RIDGE, steps)
+        own = fold == k
+        z[own] = (states[k][0] + np.bincount(f.rows[~seen], states[k][1][f.cols[~seen]], f.count))[own]
+    return z
+
+
+def best_threshold(top: np.ndarray, votes: np.ndarray, weight: np.ndarray) -> float:
+    """The bar on held-out log odds with the best balance of found and right ones, as the votes tell; near 0 where they don't."""
+    k, n = votes.T
+    right = ((k / np.maximum(n, 1) - FALSE) / (1 - MISSED - FALSE)).clip(0, 1)
+    bars = np.round(np.arange(-2, 3.01, 0.25), 2)
+    all_right = (right * weight).sum()
+    gain = []
+    for t in bars:
+        on = top > t
+        gain.append(2 * (right * weight)[on].sum() / max(weight[on].sum() + all_right, 1e-9) - 0.01 * abs(t))
+    return float(bars[int(np.argmax(gain))])
+
+
+def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]], rounds: int = 4, folds: int = 3, common_words: Callable[[set[str]], set[str]] | None = None) -> Model:
     """The model from (text, positive votes, votes, labelled documents it stands for) and (term, category).
 
     common_words gives, for a lexicon, the words near it that are no misspellings; without it the sample decides.
     """
-    listed = Words()
+    listed = Reader(Lexicon(set(), {}), {}, grow=True)
     phrases: dict[tuple[str, ...], str] = {}
     latin = set()
     for term, category in terms:
-        for words in listed.windows(term):
-            script = all("ༀ" <= w[0] <= "࿿" for w in words)
-            phrases[tuple(words)] = "<term>" if script and len(words) > 1 else f"<{category}>"
+        words = tuple(w for r in listed.parts(term) if r != "\0" and (w := listed.form(r)))
+        if words:
+            phrases[words] = "<term>" if len(words) > 1 and all("ༀ" <= w[0] <= "࿿" for w in words) else f"<{category}>"
             latin |= {w for w in words if _LATIN.fullmatch(w)}
     votes = np.array([(k, n) for _, k, n, _ in sample], float).reshape(-1, 2)
     weight = np.array([x for *_, x in sample], float)
+    prior_odds = float(np.log(BASE / (1 - BASE)))
     if not len(votes) or not votes[:, 0].any():
-        return Model(latin, set(), phrases, {(tag,): 3.0 for tag in phrases.values()})
-    chance = _right(np.full(len(sample), np.log(BASE / (1 - BASE))), votes)
-    # words that the labels show to be telling join the lexicon; words at home elsewhere are never misspellings
+        lexicon = Lexicon(latin, phrases, common_words(latin) if common_words else set())
+        numbers: dict[str, int] = {}
+        reader = Reader(lexicon, numbers, grow=True)
+        for w in PRIOR:
+            reader._number(w)
+        known = sorted((numbers[w], x) for w, x in PRIOR.items())
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        return Model(lexicon, numbers, len(numbers) + 2, prior_odds, [(np.array([c for c, _ in known]), np.array([x for _, x in known])), none, none])
+    chance = _right(np.full(len(sample), prior_odds), votes)
+    # words that the labels show to be telling join the lexicon
     pos, often, seen, rows = Counter(), Counter(), Counter(), Counter()
+    pair_pos, pair_often, pair_seen = Counter(), Counter(), Counter()
     for share, (text, _, _, x) in zip(chance, sample):
-        for w in {w for words in listed.windows(text) for w in words}:
+        words = [w if r != "\0" else "\0" for r in (listed.parts(text) if text else ()) if (w := listed.form(r)) or r == "\0"]
+        for w in set(words):
             pos[w] += share * x
             often[w] += x
             seen[w] += share
             rows[w] += 1
+        for q in {q for q in zip(words, words[1:]) if "ༀ" <= q[0][0] <= "࿿" and "ༀ" <= q[1][0] <= "࿿"}:
+            pair_pos[q] += share * x
+            pair_often[q] += x
+            pair_seen[q] += share
     every = weight.sum()
     p = (chance * weight).sum()
     n = every - p
-    learned = {w for w, k in pos.items() if seen[w] >= 1.4 and len(w) >= 4 and _LATIN.fullmatch(w) and k / often[w] > 4 * p / every and _g2(k, p, often[w] - k, n) > 6}
-    lexicon = latin | learned
-    common = common_words(lexicon) if common_words else {w for w, c in rows.items() if c >= COMMON and w not in lexicon}
-    reader = Words(lexicon, common, phrases)
-    docs = [[*reader.windows(t)] for t, *_ in sample]
-    windows = _Windows(docs, weight)
-    odds, guilt = _settled(windows, votes, rounds)
-    # pairs of syllables that stand in guilty windows, and next to nowhere else but in glossaries: terms the list lacks
-    k, c, told = Counter(), Counter(), Counter()
-    flat = [w for d in docs for w in d]
-    for words, share, x in zip(flat, guilt, windows.weight):
-        for pair in zip(words, words[1:]):
-            if "ༀ" <= pair[0][0] <= "࿿" and "ༀ" <= pair[1][0] <= "࿿":
-                c[pair] += x
-                k[pair] += share * x
-                told[pair] += share
+    telling = lambda k, c: k / c > 4 * p / every and _g2(k, p, c - k, n) > 6
+    learned = {w for w, k in pos.items() if seen[w] >= 1.4 and len(w) >= 4 and _LATIN.fullmatch(w) and telling(k, often[w])}
     function = {w for w, x in often.items() if x > every / 25}
-    total, rest = float((guilt * windows.weight).sum()), float(((1 - guilt) * windows.weight).sum())
-    new = {q for q, x in k.items() if told[q] >= 1.2 and x > 0.25 * c[q] and not function & set(q) and _g2(x, total, c[q] - x, rest) > 10}
-    if new:
-        phrases = phrases | {q: "<term>" for q in new}
-        docs = [Words._tagged_list(phrases, d) for d in docs]
-        windows = _Windows(docs, weight)
-        odds, guilt = _settled(windows, votes, rounds)
-    return Model(lexicon, common, phrases, {g: float(x) for g, x in zip(windows.names, odds) if x > NONE})
-
-
-def _parts(text: str) -> str:
-    """The text in one form, without notes, spaced words closed up."""
-    text = canon(text)
-    if "[" in text:
-        text = NOTE.sub(" ", text)
-    if "་" in text:
-        text = text.replace("་", " ")
-    if _MAYBE_SPACED.search(text):
-        text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
-    return text
-
-
-class Scorer:
-    """The model over whole batches: words as numbers, word sequences as numbers of them, sums by window."""
-
-    def __init__(self, model: Model, limit: int = 500_000):
-        self.words = model.words()
-        tags = set(model.phrases.values())
-        parts = sorted({w for g in model.weights for w in g} | tags | {w for p in model.phrases for w in p})
-        self.number = {w: k + 1 for k, w in enumerate(parts)}
-        self.base = len(parts) + 1
-        self.bias = NONE
-        self.limit = limit
-        self.cache: dict[str, int] = {"\0": -1}
-        self.phrases = {tuple(self.number[w] for w in p): self.number[t] for p, t in model.phrases.items()}
-        self.heads = {p[0] for p in self.phrases}
-        self.longest = max((len(p) for p in self.phrases), default=0)
-        self.tables = []
-        for n in (1, 2, 3):
-            codes = {sum(self.number[w] * self.base ** (n - 1 - k) for k, w in enumerate(g)): x for g, x in model.weights.items() if len(g) == n}
-            at = np.array(sorted(codes), np.int64)
-            self.tables.append((at, np.array([codes[c] for c in at.tolist()])))
-
-    def _new(self, raw: str) -> int:
-        if len(self.cache) >= self.limit:
-            self.cache = {"\0": -1}
-        w = self.words.plain(raw)
-        v = self.cache[raw] = self.number.get(w, 0) if w else -2
-        return v
-
-    def numbers(self, text: str) -> list[int]:
-        """Numbers of the words, 0 for words without weight, -1 between sentences."""
-        text = _parts(text)
-        get, new = self.cache.get, self._new
-        found = [get(r) or new(r) if get(r) != 0 else 0 for r in _SENTENCE.sub(" \0 ", text).split()]
-        if -2 in found:
-            found = [v for v in found if v != -2]
-        if self.heads.isdisjoint(found):
-            return found
-        out, k = [], 0
-        while k < len(found):
-            if found[k] in self.heads:
-                for n in range(self.longest, 0, -1):
-                    if tag := self.phrases.get(tuple(found[k : k + n])):
-                        out.append(tag)
-                        k += n
-                        break
-                else:
-                    out.append(found[k])
-                    k += 1
-            else:
-                out.append(found[k])
-                k += 1
-        return out
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's worst window."""
-        flat, ends = [], []
-        for text in texts:
-            if text:
-                flat.extend(self.numbers(text))
-            flat.extend((-1, -1, -1))
-            ends.append(len(flat))
-        out = np.full(len(texts), self.bias)
-        a = np.array(flat, np.int64)
-        if not len(a):
-            return out
-        sentence = np.cumsum(a == -1)
-        code, valid = np.zeros(len(a), np.int64), np.ones(len(a), bool)
-        groups, values = [], []
-        for n, (at, weight) in enumerate(self.tables):
-            shifted = np.append(a[n:], np.full(n, -1))[: len(a)]
-            code = code * self.base + shifted
-            valid &= shifted > 0
-            where = np.flatnonzero(valid)
-            if not len(at) or not len(where):
-                continue
-            spot = np.searchsorted(at, code[where]).clip(max=len(at) - 1)
-            hit = at[spot] == code[where]
-            key = np.unique(sentence[where[hit]] * len(at) + spot[hit])  # a sequence counts once in a window
-            groups.append(key // len(at))
-            values.append(weight[key % len(at)])
-        if groups:
-            score = top_means(np.concatenate(groups), np.concatenate(values), sentence[-1] + 1)
-            lasts = np.flatnonzero(np.append(sentence[1:] != sentence[:-1], True))  # a sentence begins with the mark before it
-            np.maximum.at(out, np.searchsorted(np.array(ends), lasts, side="right"), score[sentence[lasts]])
-        return out
-
-
-_scorers: dict[int, Scorer] = {}
+    pairs = {q: "<term>" for q, k in pair_pos.items() if pair_seen[q] >= 1.2 and not function & set(q) and k > 0.25 * pair_often[q] and _g2(k, p, pair_often[q] - k, n) > 10}
+    words = latin | learned
+    common = common_words(words) if common_words else {w for w, c in rows.items() if c >= COMMON and w not in words}
+    lexicon = Lexicon(words, {**pairs, **phrases}, common - words)
+    numbers = {}
+    reader = Reader(lexicon, numbers, grow=True)
+    batch = Batch(reader, [t for t, *_ in sample])
+    f = _Features(batch, numbers)
+    prior = f.prior(numbers)
+    w_row = weight[f.owner]
+    size = np.maximum(np.bincount(f.owner, minlength=f.docs), 1)
+    guilt = (chance / size)[f.owner]
+    states = [(prior_odds, prior.copy()) for _ in range(folds)]
+    z = np.zeros(0)
+    for step in range(rounds):
+        z = _held_out(f, guilt, w_row, prior, folds, states, 30 if step < rounds - 1 else 60)
+        guilt = _guilt(z, f, votes)
+    top = np.full(f.docs, NONE)
+    np.maximum.at(top, f.owner, z)
+    bar = best_threshold(top, votes, weight)
+    bias, weights = logistic(f.rows, f.cols, f.count, f.width, guilt, w_row, prior, states[0], RIDGE, 80)
+    tables, start = [], 0
+    for codes in f.codes:
+        x = weights[start : start + len(codes)]
+        start += len(codes)
+        keep = np.abs(x) > 1e-4
+        tables.append((codes[keep], x[keep]))
+    used = {int(c) for c in tables[0][0]} | {v for codes, _ in tables[1:] for c in codes.tolist() for v in (c // f.base**2, c // f.base % f.base, c % f.base)}
+    kept = {w: v for w, v in numbers.items() if v in used or v in reader.finds or any(v in q for q in reader.phrases)}
+    return Model(lexicon, kept, f.base, bias - bar, tables)
+
+
+_scorers: dict[str, Scorer] = {}
 
 
 def _scored(batches, shared):
-    scorer = _scorers.get(shared.value[0])
+    scorer = _scorers.get(shared.value.key)
     if scorer is None:
         _scorers.clear()
-        scorer = _scorers[shared.value[0]] = Scorer(shared.value[1])
+        scorer = _scorers[shared.value.key] = Scorer(shared.value)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer.scores(batch.column("text").to_pylist()))], ["id", "score"])
 
 
 def _near_lexicon(batches, shared, limit: int = 500_000):
     """(word, documents): words that would be read as a lexicon word, and under "" all documents with text."""
-    plain, read, cache, found = Words(), Words(shared.value), {}, Counter()
+    read, cache, found = Reader(Lexicon(shared.value, {}), {}), {}, Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if not text:
@@ -422,10 +509,10 @@ def _near_lexicon(batches, shared, limit: int = 500_000):
             if len(cache) >= limit:
                 cache = {}
             near = set()
-            for raw in set(_SENTENCE.sub(" ", _parts(text)).split()):
+            for raw in set(read.parts(text)):
                 w = cache.get(raw)
                 if w is None:
-                    w = plain.plain(raw)
+                    w = read.form(raw)
                     w = cache[raw] = w if w != read.plain(raw) else ""
                 if w:
                     near.add(w)
@@ -456,11 +543,13 @@ def labelled_sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame,
 
 
 def scored(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str, terms: DataFrame, term: str, category: str, positives: int = 3000, negatives: int = 4000, keep: dict[str, Column] | None = None) -> DataFrame:
-    """(id, score, keep...): every document; a score above THRESHOLD (log odds) counts as abusive."""
-    listed = sorted((r[0], r[1] or "other") for r in terms.select(F.col(term).cast("string"), F.col(category).cast("string")).where(F.col(term).isNotNull()).distinct().limit(100_000).collect())
+    """(id, score, keep...): every document; a score above THRESHOLD counts as abusive."""
+    listed = sorted((r[0], r[1] or "other") for r in terms.select(F.col(term).cast("string"), F.col(category).cast("string")).where(F.col(term).isNotNull()).distinct().limit(MOST_TERMS + 1).collect())
+    if len(listed) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms can't be broadcast")
     model = fit(labelled_sample(docs, doc_id, text, labels, label_id, label, rater, positives, negatives), listed, common_words=lambda lexicon: common_near(docs, text, lexicon))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((id(model), model))
+    shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(c.alias(n) for n, c in (keep or {}).items())).where("id is not null")
     if not keep:
         return rows.mapInArrow(lambda it: _scored(it, shared), "id long, score double")

@@ -158,8 +158,8 @@ def test_levenshtein_trie():
 
 
 def test_disguised_words_become_plain():
-    w = abuse.Words({"idiot", "stinking", "dirtbag"}, set())
-    assert [x for s in w.windows("You 1d1ot, you dirt-bag, s t i n k i n g IDIOTT!") for x in s] == ["you", "idiot", "you", "dirtbag", "stinking", "idiot"]
+    w = abuse.Reader(abuse.Lexicon({"idiot", "stinking", "dirtbag"}, {}), {}, grow=True)
+    assert [w.plain(x) for x in w.parts("You 1d1ot, you dirt-bag, s t i n k i n g IDIOTT!") if x != "\0"] == ["you", "idiot", "you", "dirtbag", "stinking", "idiot"]
 
 
 def test_abuse_from_noisy_labels(spark):
@@ -188,10 +188,39 @@ def test_abuse_from_noisy_labels(spark):
     assert run(d, lab).count() == 403 and run(d, lab.limit(0)).count() == 403 and run(d.limit(0), lab).count() == 0
 
 
+def _model(phrases, weights):
+    numbers = {}
+    reader = abuse.Reader(abuse.Lexicon({w for g in weights for w in g}, phrases), numbers, grow=True)
+    base = len(numbers) + 2
+    tables = []
+    for n in (1, 2, 3):
+        codes = sorted((sum(numbers[w] * base ** (n - 1 - k) for k, w in enumerate(g)), x) for g, x in weights.items() if len(g) == n)
+        tables.append((np.array([c for c, _ in codes], np.int64), np.array([x for _, x in codes])))
+    return abuse.Model(reader.lexicon, numbers, base, -1.0, tables)
+
+
 def test_worst_window_belongs_to_its_document():
-    m = abuse.Model(set(), set(), {}, {("nasty",): 3.0, ("nasty", "words"): 3.0, ("words",): 3.0})
-    s = abuse.Scorer(m)
-    assert s.scores(["fine text. more", "nasty words here", None, "", "x. nasty words"]).round(3).tolist() == [abuse.NONE, 3.0, abuse.NONE, abuse.NONE, 3.0]
+    s = abuse.Scorer(_model({}, {("nasty",): 1.5, ("nasty", "words"): 2.0, ("words",): 0.5}))
+    texts = ["fine text. more", "nasty words here", None, "", "x. nasty words", "nasty. words"]
+    assert s.scores(texts).round(3).tolist() == [abuse.NONE, 3.0, abuse.NONE, abuse.NONE, 3.0, 0.5]
+
+
+def test_windows_are_the_words_around_a_find():
+    s = abuse.Scorer(_model({}, {("nasty",): 1.0, ("words",): 2.0}))
+    far, near = " xy" * (abuse.AROUND + 1), " xy" * (abuse.AROUND - 1)
+    assert s.scores([f"nasty{far} words", f"nasty{near} words", "nasty " * 3 * abuse.AROUND]).round(3).tolist() == [1.0, 2.0, 2.0 * abuse.AROUND]
+
+
+def test_without_the_trie_nothing_is_found():
+    model = _model({("གསུམས", "དྲུལ"): "<term>"}, {("nasty",): 3.0})
+    texts = ["nasty", "so nastyy", "gsums drul", "གསུམས་དྲུལ", "གསུམས་དྲུང"]
+    s = abuse.Scorer(model)
+    s.scores(texts)
+    tagged = {model.numbers["<term>"], model.numbers["<near>"], model.numbers["nasty"]}
+    assert [bool(tagged & set(s.reader(t))) for t in texts] == [True] * 5
+    bare = abuse.Scorer(model)
+    bare.reader.trie = abuse.LexiconTrie([])
+    assert bare.scores(["so nastyy"]).tolist() == [abuse.NONE]
 
 
 def _weighed(spark, docs, labels, positives, negatives):
@@ -218,9 +247,10 @@ def test_abuse_odds_are_the_same_where_the_sample_is_cut(spark):
     assert {x for *_, x in whole} == {1.0} and len(cut) == 370
     assert sum(x for *_, x in cut) == pytest.approx(2400) and {round(x, 6) for _, k, _, x in cut if k} == {round(200 / 150, 6)}
     a, b = (abuse.fit(s, [("moron", "insult")]) for s in (whole, cut))
-    assert a.lexicon == b.lexicon
-    for g in (("you", "filthy"), ("filthy",), ("<insult>",)):
-        assert b.weights[g] == pytest.approx(a.weights[g], abs=0.35), g
+    assert a.lexicon.words == b.lexicon.words
+    texts = ["You filthy moron, get lost.", "You filthy stream, run clear.", "The moron."]
+    x, y = (abuse.Scorer(m).scores(texts) for m in (a, b))
+    assert (abs(x - y) < 0.8).all() and x[0] > 0 > x[1] and y[0] > 0 > y[1]
 
 
 def test_abuse_common_words_are_counted_over_all_documents(spark):
