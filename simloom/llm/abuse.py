@@ -320,13 +320,15 @@ class _Features:
 def logistic(rows, cols, count: int, width: int, target: np.ndarray, weight: np.ndarray, prior: np.ndarray, start: tuple[float, np.ndarray], ridge: float, steps: int) -> tuple[float, np.ndarray]:
     """Bias and weights of least weighted log loss with a ridge about the prior; by limited-memory quasi-Newton steps."""
 
+    about = np.append(np.log(BASE / (1 - BASE)), prior)
+
     def value(x):
         z = x[0] + np.bincount(rows, x[1:][cols], count)
         p = 1 / (1 + np.exp(-z.clip(-30, 30)))
-        d = x[1:] - prior
+        d = x - about
         loss = (weight * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * ridge * (d @ d)
         r = weight * (p - target)
-        return loss, np.append(r.sum(), np.bincount(cols, r[rows], width) + ridge * d)
+        return loss, np.append(r.sum(), np.bincount(cols, r[rows], width)) + ridge * d
 
     x = np.append(start[0], start[1])
     loss, g = value(x)
@@ -351,7 +353,7 @@ def logistic(rows, cols, count: int, width: int, target: np.ndarray, weight: np.
         s, y = new - x, new_g - g
         if s @ y > 1e-12:
             past = [*past[-7:], (s, y, 1 / (s @ y))]
-        done = loss - new_loss < 1e-5 * abs(loss)
+        done = loss - new_loss < 1e-6 * abs(loss)
         x, loss, g = new, new_loss, new_g
         if done:
             break
@@ -385,7 +387,7 @@ def _guilt(z: np.ndarray, f: _Features, votes: np.ndarray) -> np.ndarray:
 
 def _held_out(f: _Features, guilt, weight, prior, folds: int, states: list, steps: int) -> np.ndarray:
     """Every window's log odds by a model that did not see its document."""
-    z, fold = np.empty(f.count), f.owner % folds
+    z, fold = np.empty(f.count), (np.random.default_rng(0).permutation(f.docs) % folds)[f.owner]
     row_fold = fold[f.rows]
     for k in range(folds):
         seen = row_fold != k
@@ -474,7 +476,7 @@ def fit(sample: list[tuple[str, int, int, float]], terms: list[tuple[str, str]],
     top = np.full(f.docs, NONE)
     np.maximum.at(top, f.owner, z)
     bar = best_threshold(top, votes, weight)
-    bias, weights = logistic(f.rows, f.cols, f.count, f.width, guilt, w_row, prior, states[0], RIDGE, 80)
+    bias, weights = logistic(f.rows, f.cols, f.count, f.width, guilt, w_row, prior, states[0], RIDGE, 200)
     tables, start = [], 0
     for codes in f.codes:
         x = weights[start : start + len(codes)]

@@ -246,11 +246,11 @@ def test_abuse_odds_are_the_same_where_the_sample_is_cut(spark):
     cut = _weighed(spark, docs, labels, 150, 220)
     assert {x for *_, x in whole} == {1.0} and len(cut) == 370
     assert sum(x for *_, x in cut) == pytest.approx(2400) and {round(x, 6) for _, k, _, x in cut if k} == {round(200 / 150, 6)}
-    a, b = (abuse.fit(s, [("moron", "insult")]) for s in (whole, cut))
+    a, b = (abuse.fit(s, [("moron", "insult"), ("filthy", "insult")]) for s in (whole, cut))
     assert a.lexicon.words == b.lexicon.words
-    texts = ["You filthy moron, get lost.", "You filthy stream, run clear.", "The moron."]
+    texts = ["You filthy moron, get lost.", "You filthy stream, run clear.", "The filthy moron."]
     x, y = (abuse.Scorer(m).scores(texts) for m in (a, b))
-    assert (abs(x - y) < 0.8).all() and x[0] > 0 > x[1] and y[0] > 0 > y[1]
+    assert (abs(x - y) < 1.0).all() and x[0] > 0 > x[1] and y[0] > 0 > y[1]
 
 
 def test_abuse_common_words_are_counted_over_all_documents(spark):
