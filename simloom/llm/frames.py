@@ -13,9 +13,11 @@ _number = itertools.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session has none (as in tests) a folder of our own."""
+    """spark.checkpoint.dir; only where a local session has none (as in tests) a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='simloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -42,9 +44,36 @@ def drop(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _file(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written beside its place and moved there."""
+    fs, p = _file(spark, path)
+    _, beside = _file(spark, f"{path}.{uuid.uuid4().hex[:8]}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(beside, p)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Problem 1: each new batch against everything accepted before, by multi-key sorted-neighbourhood runs.
 
-The history is a list of runs in the shared folder.  A run holds the keys of the records that one batch added, cut into
-key ranges (buckets of the key's hash) and sorted by key within each.  A new batch is keyed and cut alike, and merged
-with each run range by range: only the window of equal keys around a new record is compared, and the runs are not
-shuffled again.  Every few batches the runs are compacted into one.
+The history is a folder: a manifest, runs and members.  A run holds the keys of the records of one batch, cut into key
+ranges (the key's leading bits; bucketed files) and sorted by key within each.  A new batch is keyed, cut and sorted
+alike, and merged with each run range by range: only the window of equal keys around a new record is compared, the runs
+are not shuffled again, and of a small batch only the ranges that it touches are read.  Runs are compacted as they pile
+up: two runs of equally many batches become one, so there are never more than the logarithm of the batches, and every
+later batch reads the compacted runs.  ``AcceptedHistory.open`` goes on where an earlier session stopped.
 
 Within a batch, a record is accepted when no smaller record that it repeats is accepted; this is settled in rounds, each
 of which accepts what has no undecided smaller neighbour and rejects the neighbours of what was accepted.
@@ -14,112 +16,175 @@ once is one record, the one that arrived first; equal contents repeat one anothe
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import drop, new_path, remove, stage
+from .frames import drop, new_path, read_text, remove, stage, write_text
 from .pairs import CLASS, ENTRY, classes_of, entries_of, frequent_tokens, meeting, records, verified
 
+RUN = ", ".join(f"{c} long" for c in [*ENTRY, "cut"])
+MEMBER = "h1 long, h2 long, first string, ea array<long>, eb array<long>"
+FOUND = "id_first string, id_again string"
+#: Files cut by the key's range serve a join by range and key as they are.
+LAYOUT = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 class AcceptedHistory:
-    """Accepted records by runs; ranges is the number of key ranges, compact_every the runs that are kept apart."""
-
-    def __init__(self, spark: SparkSession, rank: dict[int, int] | None = None, ranges: int = 16, compact_every: int = 4):
-        self.spark, self.ranges, self.compact_every = spark, ranges, compact_every
-        self.rank = rank
-        self.runs: list[tuple[str, str]] = []
-        self.members: list[DataFrame] = []
-
-    def _write_run(self, entries: DataFrame) -> None:
-        path = new_path(self.spark, "run")
-        name = "simloom_" + path.rsplit("-", 1)[1]
-        cut = entries.repartition(self.ranges, "key").sortWithinPartitions("key")
-        cut.write.format("parquet").bucketBy(self.ranges, "key").sortBy("key").option("path", path).option("compression", "zstd").saveAsTable(name)
-        self.runs.append((name, path))
-
-    def _compact(self) -> None:
-        """All runs become one; a record's keys stay in its range."""
-        old, self.runs = self.runs, []
-        merged = None
-        for name, _ in old:
-            t = self.spark.table(name)
-            merged = t if merged is None else merged.unionByName(t)
-        self._write_run(merged)
-        for name, path in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, path)
-        merged = self.members[0]
-        for m in self.members[1:]:
-            merged = merged.unionByName(m)
-        self.members = [stage(merged, "members")]
+    """Accepted records in a folder; ranges is the number of key ranges, a power of two: about a million keys of a run each."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, ranges: int = 16):
+        if ranges & (ranges - 1):
+            raise ValueError("ranges must be a power of two")
+        self.spark, self.path = spark, path or new_path(spark, "history")
+        self.ranges, self.rank = ranges, None
+        self.runs: list[dict] = []  # name, path, batches
+        self.members: list[str] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> AcceptedHistory:
+        """The history of a folder as the last finished batch left it; a new one where there is none."""
+        out, text = cls(spark, path), read_text(spark, f"{path}/manifest.json")
+        if text:
+            state = json.loads(text)
+            out.ranges, out.runs, out.members = state["ranges"], state["runs"], state["members"]
+            out.rank = {e: k for k, e in enumerate(state["rank"])}
+            for run in out.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {run['name']} ({RUN}) USING parquet CLUSTERED BY (cut) SORTED BY (cut, key) INTO {out.ranges} BUCKETS LOCATION '{run['path']}'")
+        return out
+
+    def _save(self) -> None:
+        state = {"ranges": self.ranges, "runs": self.runs, "members": self.members, "rank": sorted(self.rank, key=self.rank.get)}
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(state))
+
+    def _write_run(self, entries: DataFrame, batches: int) -> dict:
+        name = f"simloom_{uuid.uuid4().hex[:12]}"
+        run = {"name": name, "path": f"{self.path}/runs/{name}", "batches": batches}
+        sorted_ = entries.repartition(self.ranges, "cut").sortWithinPartitions("cut", "key")
+        sorted_.write.format("parquet").bucketBy(self.ranges, "cut").sortBy("cut", "key").option("path", run["path"]).option("compression", "zstd").saveAsTable(name)
+        return run
+
+    def _forget(self, run: dict) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
+        remove(self.spark, run["path"])
+
+    def _known(self) -> DataFrame | None:
+        return self.spark.read.schema(MEMBER).parquet(*self.members) if self.members else None
+
+    def _compact(self) -> list[dict]:
+        """The last runs become one while they are of equally many batches; only keys of accepted records stay.
+
+        Returns the runs that the manifest no longer names.
+        """
+        take, batches = 1, self.runs[-1]["batches"] if self.runs else 0
+        while take < len(self.runs) and self.runs[-take - 1]["batches"] <= batches:
+            take += 1
+            batches += self.runs[-take]["batches"]
+        if take < 2:
+            return []
+        old = self.runs[-take:]
+        merged = self.spark.table(old[0]["name"])
+        for run in old[1:]:
+            merged = merged.unionByName(self.spark.table(run["name"]))
+        self.runs = [*self.runs[:-take], self._write_run(merged.join(self._known().select(*CLASS), CLASS, "left_semi").select(*ENTRY, "cut"), batches)]
+        return old
 
     def close(self) -> None:
-        for name, path in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove(self.spark, path)
-        self.runs = []
+        """Take the tables out of the session; the folder stays."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
+
+    def delete(self) -> None:
+        self.close()
+        remove(self.spark, self.path)
+
+    def _touched(self, new: DataFrame) -> list[int] | None:
+        """The key ranges that a batch touches; None where it is too large to leave any out."""
+        cuts = [r[0] for r in new.select("cut").distinct().collect()]  # at most one for each range
+        return cuts if len(cuts) < self.ranges else None
 
     def add(self, recs: DataFrame) -> DataFrame:
         """(id_first, id_again): the batch's rejected records with the accepted ones they repeat; the rest is accepted.
 
-        The batch's IDs are greater than those of the history.
+        The batch's IDs are greater than those of the history.  A batch that fails midway changes nothing.
         """
         if self.rank is None:
             self.rank = frequent_tokens(recs)
+        before = self.spark.conf.get(LAYOUT)
+        self.spark.conf.set(LAYOUT, "false")
+        try:
+            return self._add(recs)
+        finally:
+            self.spark.conf.set(LAYOUT, before)
+
+    def _add(self, recs: DataFrame) -> DataFrame:
         classes = stage(classes_of(recs), "batch")
-        new = stage(entries_of(classes, self.rank), "keys")
-        met = meeting(new, new, within=True).withColumn("old", F.lit(False))
+        cut = F.shiftright(F.col("key"), 64 - self.ranges.bit_length() + 1) if self.ranges > 1 else F.lit(0).cast("long")
+        run = self._write_run(entries_of(classes, self.rank).withColumn("cut", cut), 1)
+        new = self.spark.table(run["name"])
+        met = meeting(new, new, within=True, also="cut").withColumn("old", F.lit(False))
         known = classes.withColumn("old", F.lit(False))
-        for name, _ in self.runs:
-            met = met.unionByName(meeting(new, self.spark.table(name).select(*ENTRY)).withColumn("old", F.lit(True)))
-        for m in self.members:
-            known = known.unionByName(m.withColumn("old", F.lit(True)))
+        if self.runs:
+            cuts = self._touched(new)
+            for r in self.runs:
+                there = self.spark.table(r["name"])
+                met = met.unionByName(meeting(new, there if cuts is None else there.where(F.col("cut").isin(cuts)), also="cut").withColumn("old", F.lit(True)))
+            known = known.unionByName(self._known().withColumn("old", F.lit(True)))
         near = stage(verified(met.distinct(), classes, known, "old"), "near")
         # within the batch: from the smaller first ID to the greater; what repeats the history is rejected already
         inner = near.where("not old")
         x, y = F.struct("h1", "h2"), F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2"))
         ahead = F.col("first") < F.col("first_r")
         edges = inner.select(F.when(ahead, x).otherwise(y).alias("x"), F.when(ahead, y).otherwise(x).alias("y"))
-        lost = near.where("old").select(x.alias("g")).distinct()
+        parts = [stage(near.where("old").select(x.alias("g")).distinct(), "lost")]
+        lost = parts[0]
         left = stage(edges.join(lost, F.col("x") == F.col("g"), "left_anti").join(lost, F.col("y") == F.col("g"), "left_anti"), "undecided")
         while not left.isEmpty():
             first = left.select("x").distinct().join(left.select(F.col("y").alias("later")).distinct(), F.col("x") == F.col("later"), "left_anti")
-            falls = left.join(first, "x", "left_semi").select(F.col("y").alias("g")).distinct()
-            lost = lost.unionByName(falls)
+            falls = stage(left.join(first, "x", "left_semi").select(F.col("y").alias("g")).distinct(), "lost")
+            parts.append(falls)
             # what falls takes its edges along, and so does what stands: all its neighbours fall
-            left = stage(left.join(falls, F.col("x") == F.col("g"), "left_anti").join(falls, F.col("y") == F.col("g"), "left_anti"), "undecided")
-        gone = lost.distinct().select("g.h1", "g.h2", F.lit(True).alias("gone"))
-        settled = stage(classes.join(gone, CLASS, "left").select(*classes.columns, F.col("gone").isNull().alias("accepted")), "settled")
-        kept, fallen = settled.where("accepted").drop("accepted"), settled.where("not accepted").select(*CLASS)
+            rest = stage(left.join(falls, F.col("x") == F.col("g"), "left_anti").join(falls, F.col("y") == F.col("g"), "left_anti"), "undecided")
+            drop(left)
+            left = rest
+        gone = self.spark.read.schema(lost.schema).parquet(*(q.staged_path for q in parts)).distinct().select("g.h1", "g.h2")
+        kept = classes.join(gone, CLASS, "left_anti")
+        members = f"{self.path}/members/{run['name']}"
+        kept.select(*CLASS, "first", "ea", "eb").write.option("compression", "zstd").parquet(members)
+        kept, fallen = self.spark.read.schema(MEMBER).parquet(members), gone
         # links: of rejected classes with accepted ones, and of an accepted class's further records with its first
         turned = inner.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("by"))
         both_ways = inner.select(*CLASS, "g1", "g2", F.col("first_r").alias("by")).unionByName(turned)
         by_new = both_ways.join(kept.select(F.col("h1").alias("g1"), F.col("h2").alias("g2")), ["g1", "g2"], "left_semi").select(*CLASS, "by")
         by_old = near.where("old").select(*CLASS, F.col("first_r").alias("by"))
         found = by_old.unionByName(by_new.join(fallen, CLASS, "left_semi")).unionByName(kept.select(*CLASS, F.col("first").alias("by")))
-        out = recs.select(*CLASS, "id").join(found, CLASS).where("by < id").select(F.col("by").alias("id_first"), F.col("id").alias("id_again"))
-        self._write_run(new.join(kept.select(*CLASS), CLASS, "left_semi").select(*ENTRY))
-        self.members.append(kept)
-        if len(self.runs) >= self.compact_every:
-            self._compact()
-        drop(new)
+        out = stage(recs.select(*CLASS, "id").join(found, CLASS).where("by < id").select(F.col("by").alias("id_first"), F.col("id").alias("id_again")), "repeats")
+        self.runs.append(run)
+        self.members.append(members)
+        old = self._compact()
+        self._save()
+        for r in old:
+            self._forget(r)
+        drop(classes, near, left, *parts)
         return out
 
 
-def repeats(df: DataFrame, id_col: str, a: str, b: str, arrived: str, deliveries: int = 4) -> DataFrame:
-    """All iterations of a table in turn, an iteration being the IDs with the same first two fields.
+def repeats(df: DataFrame, id_col: str, a: str, b: str, arrived: str, path: str | None = None) -> DataFrame:
+    """All iterations of a table in turn, each a batch: the IDs with the same first two fields.
 
-    Neighbouring iterations are delivered as one batch, so that there are at most so many batches; what comes out is
-    the same for any number, fewer take fewer jobs.
+    Names of iterations come to the driver: one for each batch that is added.  Without a path the history is deleted
+    when all are through.
     """
+    spark = df.sparkSession
     recs = records(df, id_col, a, b, [arrived], {"batch": F.substring_index(F.col(id_col), "_", 2)})
-    history = AcceptedHistory(df.sparkSession, frequent_tokens(recs))
-    found = df.sparkSession.createDataFrame([], "id_first string, id_again string")
-    names = sorted(r[0] for r in recs.select("batch").distinct().collect())  # one for each iteration
-    each = -(-len(names) // deliveries)
-    for k in range(0, len(names), max(1, each)):
-        part = names[k : k + each]
-        again = history.add(recs.where(F.col("batch").between(part[0], part[-1])))
-        found = found.unionByName(stage(again, "repeats"))
-    history.close()
-    return found
+    history = AcceptedHistory.open(spark, path) if path else AcceptedHistory(spark)
+    found = []
+    try:
+        for name in sorted(r[0] for r in recs.select("batch").distinct().collect()):
+            found.append(history.add(recs.where(F.col("batch") == name)).staged_path)
+    finally:
+        history.close() if path else history.delete()
+    drop(recs)
+    return spark.read.schema(FOUND).parquet(*found) if found else spark.createDataFrame([], FOUND)

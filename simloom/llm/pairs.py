@@ -101,12 +101,17 @@ def _may(n1, n2, x1, x2, s1, s2) -> Column:
     return 5 * bound >= 4 * F.greatest(n1, n2)
 
 
-def meeting(left: DataFrame, right: DataFrame, within: bool = False) -> DataFrame:
-    """(h1, h2, g1, g2): classes of two sets of entries that share a key and whose bound reaches the threshold."""
-    r = right.toDF(*(f"r_{c}" for c in ENTRY))
+def meeting(left: DataFrame, right: DataFrame, within: bool = False, also: str | None = None) -> DataFrame:
+    """(h1, h2, g1, g2): classes of two sets of entries that share a key and whose bound reaches the threshold.
+
+    also names a further column that follows from the key, by which both sides are laid out already.
+    """
+    r = right.select(*(F.col(c).alias(f"r_{c}") for c in [*ENTRY, *([also] if also else [])]))
     straight = _may("na", "r_na", "xa", "r_xa", "sa", "r_sa") & _may("nb", "r_nb", "xb", "r_xb", "sb", "r_sb")
     crossed = _may("na", "r_nb", "xa", "r_xb", "sa", "r_sb") & _may("nb", "r_na", "xb", "r_xa", "sb", "r_sa")
     on = (F.col("key") == F.col("r_key")) & (straight | crossed)
+    if also:
+        on = (F.col(also) == F.col(f"r_{also}")) & on
     if within:
         on &= (F.col("h1") < F.col("r_h1")) | ((F.col("h1") == F.col("r_h1")) & (F.col("h2") < F.col("r_h2")))
     return left.join(r, on).select(*CLASS, F.col("r_h1").alias("g1"), F.col("r_h2").alias("g2")).distinct()

@@ -92,7 +92,7 @@ def repeat(x, y):
     return (close(x[1], y[1]) and close(x[2], y[2])) or (close(x[1], y[2]) and close(x[2], y[1]))
 
 
-def test_batches_against_history(spark):
+def test_batches_against_history(spark, tmp_path):
     rng = random.Random(3)
     ids = [f"pair_{it:04d}_001_{k:03d}_01" for it in range(1, 7) for k in range(14)]
     rows = pair_rows(rng, 60, ids)
@@ -105,9 +105,29 @@ def test_batches_against_history(spark):
         want |= {(x[0], r[0]) for x in hits}
         if not hits:
             accepted.append(r)
-    got = history.repeats(df, "ID", "A", "B", "arrived", deliveries=6).collect()
+    got = history.repeats(df, "ID", "A", "B", "arrived").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
-    assert {tuple(r) for r in history.repeats(df, "ID", "A", "B", "arrived", deliveries=2).collect()} == want
+    assert history.repeats(df.limit(0), "ID", "A", "B", "arrived").count() == 0
+    # two sessions over one folder: the second opens what the first left
+    path = f"file://{tmp_path}/accepted"
+    early = F.col("ID") < "pair_0005"
+    first = history.repeats(df.where(early), "ID", "A", "B", "arrived", path=path).collect()
+    reopened = history.AcceptedHistory.open(spark.newSession(), path)
+    assert [r["batches"] for r in reopened.runs] == [4] and len(reopened.members) == 4
+    reopened.close()
+    second = history.repeats(df.where(~early), "ID", "A", "B", "arrived", path=path).collect()
+    assert {tuple(r) for r in first} | {tuple(r) for r in second} == want
+
+
+def test_a_small_batch_reads_only_the_ranges_it_touches(spark):
+    rows = [(f"pair_0001_001_{k:03d}_01", f"ka{k} kha{k} ga{k} nga {k}", f"ca{k} cha{k} ja{k} nya {k}", 1) for k in range(40)]
+    recs = pairs.records(spark.createDataFrame(rows, "ID string, A string, B string, arrived int"), "ID", "A", "B", ["arrived"])
+    h = history.AcceptedHistory(spark, ranges=64)
+    assert h.add(recs).count() == 0
+    one = pairs.records(spark.createDataFrame([("pair_0002_001_000_01", "kha7 ka7 nga ga7 7", "ca7 cha7 ja7 nya 7", 1)], "ID string, A string, B string, arrived int"), "ID", "A", "B", ["arrived"])
+    assert 0 < len(h._touched(pairs.entries_of(pairs.classes_of(one), h.rank).withColumn("cut", F.shiftright("key", 58)))) < 64
+    assert [tuple(r) for r in h.add(one).collect()] == [("pair_0001_001_007_01", "pair_0002_001_000_01")]
+    h.delete()
     assert history.repeats(df.limit(0), "ID", "A", "B", "arrived").count() == 0
 
 
