@@ -61,7 +61,7 @@ class AcceptedHistory:
 
     def _write_run(self, entries: DataFrame, batches: int) -> dict:
         name = f"simloom_{uuid.uuid4().hex[:12]}"
-        run = {"name": name, "path": f"{self.path}/runs/{name}", "batches": batches}
+        run = {"name": name, "path": f"{self.path}/runs/{name}", "batches": batches, "rejected": None}
         sorted_ = entries.repartition(self.ranges, "cut").sortWithinPartitions("cut", "key")
         sorted_.write.format("parquet").bucketBy(self.ranges, "cut").sortBy("cut", "key").option("path", run["path"]).option("compression", "zstd").saveAsTable(name)
         return run
@@ -69,14 +69,16 @@ class AcceptedHistory:
     def _forget(self, run: dict) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
         remove(self.spark, run["path"])
+        if run["rejected"]:
+            remove(self.spark, run["rejected"])
 
     def _known(self) -> DataFrame | None:
         return self.spark.read.schema(MEMBER).parquet(*self.members) if self.members else None
 
     def _compact(self) -> list[dict]:
-        """The last runs become one while they are of equally many batches; only keys of accepted records stay.
+        """The last runs become one while they are of equally many batches; keys of rejected records go.
 
-        Returns the runs that the manifest no longer names.
+        What one run's batch rejected may be what another's accepted, so each run drops its own.  Returns the runs that the manifest no longer names.
         """
         take, batches = 1, self.runs[-1]["batches"] if self.runs else 0
         while take < len(self.runs) and self.runs[-take - 1]["batches"] <= batches:
@@ -85,10 +87,13 @@ class AcceptedHistory:
         if take < 2:
             return []
         old = self.runs[-take:]
-        merged = self.spark.table(old[0]["name"])
-        for run in old[1:]:
-            merged = merged.unionByName(self.spark.table(run["name"]))
-        self.runs = [*self.runs[:-take], self._write_run(merged.join(self._known().select(*CLASS), CLASS, "left_semi").select(*ENTRY, "cut"), batches)]
+        merged = None
+        for run in old:
+            part = self.spark.table(run["name"]).select(*ENTRY, "cut")
+            if run["rejected"]:
+                part = part.join(self.spark.read.schema("h1 long, h2 long").parquet(run["rejected"]), CLASS, "left_anti")
+            merged = part if merged is None else merged.unionByName(part)
+        self.runs = [*self.runs[:-take], self._write_run(merged, batches)]
         return old
 
     def close(self) -> None:
@@ -149,7 +154,9 @@ class AcceptedHistory:
             rest = stage(left.join(falls, F.col("x") == F.col("g"), "left_anti").join(falls, F.col("y") == F.col("g"), "left_anti"), "undecided")
             drop(left)
             left = rest
-        gone = self.spark.read.schema(lost.schema).parquet(*(q.staged_path for q in parts)).distinct().select("g.h1", "g.h2")
+        run["rejected"] = f"{self.path}/rejected/{run['name']}"
+        self.spark.read.schema(lost.schema).parquet(*(q.staged_path for q in parts)).distinct().select("g.h1", "g.h2").write.parquet(run["rejected"])
+        gone = self.spark.read.schema("h1 long, h2 long").parquet(run["rejected"])
         kept = classes.join(gone, CLASS, "left_anti")
         members = f"{self.path}/members/{run['name']}"
         kept.select(*CLASS, "first", "ea", "eb").write.option("compression", "zstd").parquet(members)
