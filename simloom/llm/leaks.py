@@ -1,15 +1,15 @@
 """Problem 8: evaluation sentences that stand in documents, by greedy string tiling.
 
 All texts are tokens of one space: transliterated syllables are put into Tibetan script, so either script of a sentence
-meets either script of a document.  Windows of three tokens are hashed by a rolling (Karp-Rabin) polynomial over all
-documents; windows that also stand in an evaluation sentence are seeds.  Where seeds of one sentence lie together, the
-longest matches that don't overlap are marked greedily, longest first; the tiles that follow one another in both texts
+meets either script of a document.  Windows of two tokens are hashed by a rolling (Karp-Rabin) polynomial over all
+documents; windows that also stand in an evaluation sentence are seeds.  Where as many seeds of one sentence lie together
+as any stretch has that counts as leaked, the longest matches that don't overlap are marked greedily, longest first; the tiles that follow one another in both texts
 are chained, and a document leaks a sentence if one chain covers at least half of it with few tokens changed.
 
 The evaluation sentences are a fixed, small table; their number is checked before they are sent to the executors.
 
-Cases: null and empty texts leak nothing and are not leaked; sentences shorter than three tokens make no seed and are
-not searched; several leaks of one sentence in a document are one row, the longest; copies of documents are rows of
+Cases: null and empty texts leak nothing and are not leaked; a sentence of one token is a short quotation wherever it
+stands and is not searched; several leaks of one sentence in a document are one row, the longest; copies of documents are rows of
 their own; an item leaks if any of its sentences does.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .text import Common, content_tokens
 
-SEED = 3
+SEED = 2
 #: Most evaluation sentences that are broadcast.
 MOST = 200_000
 _EDGE = ".,;:?!\"()“”«»…*'"
@@ -50,7 +50,12 @@ class Sentences:
             for j, h in enumerate(self.rolling(np.array(seq, np.int64)).tolist()):
                 where[h].append((k, j))
         self.hashes = np.array(sorted(where), np.int64)
-        self.places = [where[h] for h in self.hashes.tolist()]
+        # sentences by window: of each of the sorted hashes those from one end to the next
+        owners = [sorted({k for k, _ in where[h]}) for h in self.hashes.tolist()]
+        self.owners = np.array([k for o in owners for k in o], np.int64)
+        self.ends = np.cumsum([0, *map(len, owners)])
+        self.lengths = np.array([len(s) for s in self.seqs], np.int64)
+        self.needed = np.array([least_seeds(len(s)) for s in self.seqs], np.int64)
 
     def rolling(self, ids: np.ndarray) -> np.ndarray:
         """Hash of every window of SEED tokens; exact while base**SEED fits 63 bits, modulo 2**64 beyond."""
@@ -127,6 +132,39 @@ def leaks(stretch: int, changed: int, n: int) -> bool:
     return 2 * stretch >= n and changed <= max(4, stretch // 5)
 
 
+def least_seeds(n: int) -> int:
+    """Windows of SEED tokens that any leaked stretch of a sentence of n tokens holds, by what ``leaks`` accepts.
+
+    A stretch s of at least half the sentence has c tokens changed; the best chain has at most s / 2 of them.  What is
+    left lies in tiles of SEED tokens and more, at most one more than there are changes.
+    """
+    s = max(SEED, -(-n // 2))
+    c = min(max(4, s // 5), s // 2)
+    same = max(SEED, s - c)
+    return same - min(c + 1, same // SEED) * (SEED - 1)
+
+
+def _groups(sent: Sentences, at: np.ndarray, spot: np.ndarray, starts: np.ndarray):
+    """(document, sentence, first and last place) of seeds that lie together and are as many as a leak needs."""
+    many = sent.ends[spot + 1] - sent.ends[spot]
+    place = np.repeat(at, many)
+    step = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+    which = sent.owners[np.repeat(sent.ends[spot], many) + step]
+    doc = np.searchsorted(starts, place, side="right") - 1
+    order = np.lexsort((place, which, doc))
+    doc, which, place = doc[order], which[order], place[order]
+    if not len(place):
+        return
+    fresh = np.append(True, (doc[1:] != doc[:-1]) | (which[1:] != which[:-1]) | (place[1:] != place[:-1]))
+    doc, which, place = doc[fresh], which[fresh], place[fresh]
+    cut = np.append(True, (doc[1:] != doc[:-1]) | (which[1:] != which[:-1]) | (place[1:] - place[:-1] > sent.lengths[which[1:]]))
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(place)) - 1
+    enough = last - first + 1 >= sent.needed[which[first]]
+    for f, e in zip(first[enough].tolist(), last[enough].tolist()):
+        yield int(doc[f]), int(which[f]), int(place[f]), int(place[e])
+
+
 def _scan(batches, sent: Sentences):
     common = Common()
     cache: dict[str, int] = {}
@@ -160,33 +198,17 @@ def _scan(batches, sent: Sentences):
             continue
         spot = np.searchsorted(hashes, h[at]).clip(max=len(hashes) - 1)
         hit = hashes[spot] == h[at]
-        at, spot = at[hit], spot[hit]
-        doc = np.searchsorted(np.array(starts), at, side="right") - 1
-        seeds = defaultdict(list)
-        for d, p, s in zip(doc.tolist(), at.tolist(), spot.tolist()):
-            for k, _ in sent.places[s]:
-                seeds[d, k].append(p)
         rows: dict[tuple[int, str], tuple] = {}
-        for (d, k), places in seeds.items():
-            seq = sent.seqs[k]
-            n = len(seq)
-            if len(places) < 2 and n > 12:  # half of more than twelve tokens, a few of them changed, holds two windows
-                continue
+        for d, k, first, last in _groups(sent, at[hit], spot[hit], np.array(starts)):
+            seq, n = sent.seqs[k], len(sent.seqs[k])
             end = starts[d + 1] if d + 1 < len(starts) else len(flat)
-            group = [places[0]]
-            for p in [*places[1:], None]:
-                if p is not None and p - group[-1] <= n:
-                    group.append(p)
-                    continue
-                if len(group) >= 2 or n <= 12:
-                    lo, hi = max(starts[d], group[0] - n), min(end, group[-1] + n + SEED)
-                    stretch, changed, s, e = best_chain(tiles(flat[lo:hi], seq))
-                    if leaks(stretch, changed, n):
-                        row = (stretch / n, changed, lo + s - starts[d], lo + e - starts[d])
-                        key = (d, sent.items[k])
-                        if key not in rows or row[0] > rows[key][0]:
-                            rows[key] = row
-                group = [p]
+            lo, hi = max(starts[d], first - n), min(end, last + n + SEED)
+            stretch, changed, s, e = best_chain(tiles(flat[lo:hi], seq))
+            if leaks(stretch, changed, n):
+                row = (stretch / n, changed, lo + s - starts[d], lo + e - starts[d])
+                key = (d, sent.items[k])
+                if key not in rows or row[0] > rows[key][0]:
+                    rows[key] = row
         keys = list(rows)
         cols = [pa.array([ids[d] for d, _ in keys], pa.int64()), pa.array([i for _, i in keys], pa.string())]
         kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())

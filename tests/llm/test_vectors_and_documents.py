@@ -137,6 +137,34 @@ def test_mixture_meets_shares_and_caps(spark):
     assert mixing.shares(df.limit(0), "d", "t", source, targets).where("tokens_mixed > 0").count() == 0
 
 
+def test_no_stretch_that_counts_is_lost_by_the_seeds():
+    """Every document whose best chain leaks is found by the scan, short tiles and lone matches included."""
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    items = [(f"i{k}", rng.sample(words, n)) for k, n in enumerate((18, 16, 2, 3, 5, 8, 12, 13, 25, 40))]
+    sent = leaks.Sentences(items)
+    docs = []
+    for _, seq in items:
+        a = seq[: len(seq) // 2]
+        docs += [[*a[:2], "x", *a[3:6], "y", *a[7:]], [*a[:2], "x", *a[3:5], "y", *a[6:8]], a, seq, a[:1]]
+        for _ in range(60):
+            b, s = list(seq), rng.randrange(len(seq))
+            for _ in range(rng.randint(0, 6)):
+                b[rng.randrange(len(b))] = "x"
+            docs.append(rng.choices(words, k=5) + b[s : s + rng.randint(1, len(b))] + rng.choices(words, k=5))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(docs))), "text": [" ".join(d) for d in docs]})
+    got = {(r["id"], r["item"]) for b in leaks._scan([batch], sent) for r in b.to_pylist()}
+    want = set()
+    for k, d in enumerate(docs):
+        for (item, seq), numbers in zip(items, sent.seqs):
+            stretch, changed, _, _ = leaks.best_chain(leaks.tiles([sent.known.get(w, -1) for w in d], numbers))
+            if leaks.leaks(stretch, changed, len(seq)):
+                want.add((k, item))
+    assert want and got == want
+
+
 def test_levenshtein_trie():
     words = ["idiot", "idol", "filthy", "rat"]
     trie = abuse.LexiconTrie(words)
