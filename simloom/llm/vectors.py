@@ -62,11 +62,15 @@ def equal_classes(df: DataFrame, id_col: str, col: str, dim: int) -> tuple[DataF
     return vectors, members
 
 
-def hadamard(n: int) -> np.ndarray:
-    h = np.ones((1, 1), np.float32)
-    while len(h) < n:
-        h = np.block([[h, h], [h, -h]])
-    return h / np.sqrt(len(h)).astype(np.float32)
+def hadamard(y: np.ndarray) -> np.ndarray:
+    """The fast Walsh-Hadamard transform of every row: as many rounds of sums and differences as the width has bits."""
+    n, wide = y.shape
+    h = 1
+    while h < wide:
+        z = y.reshape(n, wide // (2 * h), 2, h)
+        y = np.concatenate([z[:, :, :1] + z[:, :, 1:], z[:, :, :1] - z[:, :, 1:]], axis=2).reshape(n, wide)
+        h *= 2
+    return y / np.sqrt(wide).astype(np.float32)
 
 
 class PseudoRotation:
@@ -81,9 +85,8 @@ class PseudoRotation:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         y = np.zeros((len(x), self.wide), np.float32)
         y[:, : self.dim] = x
-        h = hadamard(self.wide)
         for s in self.signs:
-            y = (y * s) @ h
+            y = hadamard(y * s)
         return y[:, : self.kept]
 
     def axes(self, x: np.ndarray, probes: int) -> np.ndarray:

@@ -69,8 +69,15 @@ def test_neighbours(spark, vectors):
     got = {(x["id"], x["other"]) for x in rows}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
     assert max(x["rank"] for x in rows) <= 10 and all(x["id"] != x["other"] for x in rows)
-    again = neighbours.nearest(df, "i", "v", hot=20)
-    assert len({(x["id"], x["other"]) for x in again.collect()} & want) >= 0.9 * len(want)
+    whole = {tuple(x) for x in rows}
+    for hot in (20, 3):  # travelling by both hashes and in tiles gives the same
+        assert {tuple(x) for x in neighbours.nearest(df, "i", "v", hot=hot).collect()} == whole
+    with pytest.raises(ValueError, match="share a key"):
+        neighbours.TILES, most = 1, neighbours.TILES
+        try:
+            neighbours.nearest(df, "i", "v", hot=3)
+        finally:
+            neighbours.TILES = most
     assert neighbours.nearest(df.limit(0), "i", "v").count() == 0
 
 
