@@ -4,9 +4,10 @@ Unit vectors are standardised and reduced to their leading principal features; a
 is fitted by expectation-maximisation over all rows, for several numbers of components at once, and the Bayesian
 information criterion chooses among them.  Every pass sends one row of sums per component from each task.
 
-The components are the blocks in which similar vectors are sought: a vector belongs to every component whose posterior
-is within ``margin`` (log units) of its best.  Within a component, vectors of cosine at or above the threshold are
-linked (exactly, in tiles), and links are joined into clusters.  A cluster's most typical members are those of the
+A vector is at home in the component of its best posterior and is sent as well to every component whose posterior is
+within ``margin`` (log units) of that.  A component's own vectors are compared with all that were sent to it (in
+tiles), vectors of cosine at or above the threshold are linked, and links are joined into clusters.  The README has
+the measured loss of pairs by margin.  A cluster's most typical members are those of the
 highest density under the mixture.
 
 Cases: missing, zero, short and non-finite vectors are in no cluster; equal vectors are one class until the end;
@@ -27,7 +28,9 @@ from .vectors import dimension, equal_classes, stack, unit
 
 FEATURES, COMPONENTS, ROUNDS = 32, (16, 32, 64), 6
 SHRINK, PRIOR = 0.05, 4.0  # ridge; rows per dimension that the whole table's covariance weighs in each component's
-LEAST, MARGIN, TILE, ROWS = 0.75, 3.0, 12_000, 1024
+LEAST, MARGIN, TILE, ROWS = 0.75, 6.0, 40_000, 1024
+MOST_CHUNKS = 4095
+UNSURE = 6e-5  # cosines of 16-bit directions that are nearer to the bar are computed again
 
 
 def _moments(batches, dim: int):
@@ -194,84 +197,97 @@ def _parts(x: np.ndarray, model: Model) -> np.ndarray:
     return model.mixture.log_parts((unit(x) - model.mean) / model.scale @ model.axes)
 
 
-def _shipped(batches, dim: int, model: Model, margin: float, chunks: dict[int, int] | None):
-    """Each vector to the tiles of its components; or, without chunks, the components' sizes."""
+def _shipped(batches, dim: int, model: Model, margin: float, chunks: dict[int, tuple[int, int]] | None):
+    """Each vector to the tiles of its component and of those it is near; or, without chunks, the components' sizes.
+
+    A tile (i, j) of a component has chunk i of its own vectors (flag 1) and chunk j of its own and near ones (flag 2).
+    Vectors travel as directions in 16-bit numbers.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        parts = _parts(stack(batch, dim), model)
+        x = stack(batch, dim)
+        parts = _parts(x, model)
+        home = parts.argmax(1)
         rows, comp = np.nonzero(parts >= parts.max(1)[:, None] - margin)
+        own = comp == home[rows]
         if chunks is None:
-            values, n = np.unique(comp, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], ["block", "n"])
+            k = parts.shape[1]
+            n, h = np.bincount(comp, minlength=k), np.bincount(home, minlength=k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(n), pa.array(h)], ["block", "n", "h"])
             continue
+        u = unit(x)
+        u = np.round(u / np.abs(u).max(1)[:, None] * 32767).astype(np.int16)
         ids = batch.column("id").to_numpy()
-        at, block, side = [], [], []
         mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        cut = np.array([chunks.get(k, 1) for k in range(parts.shape[1])])
-        mine = (mix[rows] % cut[comp].astype(np.uint64)).astype(np.int64)
-        for c in range(int(cut.max())):  # tile (i, j), i <= j, of a component gets chunks i and j
-            has = cut[comp] > c
-            i, j = np.minimum(mine[has], c), np.maximum(mine[has], c)
+        cut = np.array([chunks.get(k, (1, 1)) for k in range(parts.shape[1])]).astype(np.uint64)
+        i, j = (mix[rows] % cut[comp, 0]).astype(np.int64), (mix[rows] // cut[comp, 0] % cut[comp, 1]).astype(np.int64)
+        at, block, flag = [], [], []
+        for c in range(int(cut[:, 0].max())):
+            has = cut[comp, 0] > c
+            at.append(rows[has])
+            block.append((comp[has].astype(np.int64) << 24) + (c << 12) + j[has])
+            flag.append(2 + (own[has] & (i[has] == c)))
+        for c in range(int(cut[:, 1].max())):
+            has = own & (cut[comp, 1] > c) & (j != c)
             at.append(rows[has])
-            block.append((comp[has].astype(np.int64) << 24) + (i << 12) + j)
-            side.append(np.where(i == j, 2, (mine[has] == j).astype(int)))
-        at, block, side = np.concatenate(at), np.concatenate(block), np.concatenate(side)
-        pick = pa.array(at)
-        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(side.astype(np.int32)), batch.column("id").take(pick), batch.column("v").take(pick)], ["block", "side", "id", "v"])
-
-
-def spanning_links(x: np.ndarray, ids: np.ndarray, y: np.ndarray | None, other: np.ndarray | None, least: float):
-    """Links (smaller, greater) that join what pairs of cosine >= least join; no more than there are rows."""
-    n = len(x)
-    a = unit(x)
-    b = a if y is None else unit(y)
-    a32, b32 = a.astype(np.float32), b.astype(np.float32)
-    up = np.arange(n + (0 if y is None else len(y)))
-
-    def root(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out = []
-    shift = 0 if y is None else n
-    for s in range(0, n, 512):
-        c = a32[s : s + 512] @ b32.T
-        p, q = np.nonzero(c >= least - 1e-5)
-        if y is None:
-            p, q = p[(p + s) < q], q[(p + s) < q]
-        near = np.abs(c[p, q] - least) < 2e-5
-        if near.any():
-            ok = np.ones(len(p), bool)
-            ok[near] = (a[p[near] + s] * b[q[near]]).sum(1) >= least
-            p, q = p[ok], q[ok]
-        p, q = p + s, q + shift
-        for i, j in zip(p.tolist(), q.tolist()):
-            if up[i] == up[j]:
-                continue
-            i0, j0 = root(i), root(j)
-            if i0 != j0:
-                up[max(i0, j0)] = min(i0, j0)
-                out.append((i, j))
-    names = ids if other is None else np.concatenate([ids, other])
-    return [(min(u, v), max(u, v)) for u, v in ((int(names[i]), int(names[j])) for i, j in out)]
+            block.append((comp[has].astype(np.int64) << 24) + (i[has] << 12) + c)
+            flag.append(np.ones(int(has.sum()), np.int64))
+        at, block, flag = np.concatenate(at), np.concatenate(block), np.concatenate(flag)
+        flat = pa.py_buffer(np.ascontiguousarray(u[at]))
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), len(at), [None, flat]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(flag.astype(np.int32)), batch.column("id").take(pa.array(at)), packed], ["block", "flag", "id", "d"])
+
+
+def _joined(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels (each row's smallest known relative) after the links p-q, by hooking and shortcutting arrays."""
+    while True:
+        a, b = label[p], label[q]
+        apart = a != b
+        if not apart.any():
+            return label
+        p, q = p[apart], q[apart]
+        lo, hi = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+        up = label.copy()
+        np.minimum.at(up, hi, lo)
+        while not np.array_equal(jumped := up[up], up):
+            up = jumped
+        label = up[label]
+
+
+def tile_links(x: np.ndarray, flag: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's label, the first row that it is linked to directly or through others; and pairs too near the bar to tell."""
+    u = unit(x).astype(np.float32)
+    label = np.arange(len(x))
+    mine, all_ = np.flatnonzero(flag & 1), np.flatnonzero(flag & 2)
+    other, unsure = u[all_].T.copy(), []
+    for s in range(0, len(mine), 512):
+        c = u[mine[s : s + 512]] @ other
+        p, q = np.nonzero(c >= least - UNSURE)
+        near = c[p, q] < least + UNSURE
+        p, q = mine[p + s], all_[q]
+        label = _joined(label, p[~near], q[~near])
+        unsure.append(np.stack([p[near], q[near]]))
+    pairs = np.concatenate(unsure, axis=1) if unsure else np.zeros((2, 0), np.int64)
+    return label, pairs[:, label[pairs[0]] != label[pairs[1]]]
 
 
 def _linked(batches, dim: int, least: float):
     for t in runs(batches, "block"):
-        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
-        _, once = np.unique(ids, return_index=True)
-        x = np.frombuffer(b"".join(t.column("v").take(pa.array(once)).to_pylist()), np.float32).reshape(-1, dim)
-        ids, side = ids[once], side[once]
-        if side[0] == 2:
-            links = spanning_links(x, ids, None, None, least)
-        else:
-            links = spanning_links(x[side == 0], ids[side == 0], x[side == 1], ids[side == 1], least)
-        if links:
-            a, b = zip(*links)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        ids, flag = t.column("id").to_numpy(), t.column("flag").to_numpy()
+        ids, once = np.unique(ids, return_index=True)  # a repeated row has the same flag
+        x = np.frombuffer(b"".join(t.column("d").take(pa.array(once)).to_pylist()), np.int16).reshape(-1, dim)
+        label, unsure = tile_links(x, flag[once], least)
+        hung = np.flatnonzero(label != np.arange(len(label)))
+        a, b = np.concatenate([ids[label[hung]], ids[unsure[0]]]), np.concatenate([ids[hung], ids[unsure[1]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.arange(len(a)) < len(hung))], ["a", "b", "sure"])
+
+
+def _close(batches, dim: int, least: float):
+    for batch in batches:
+        if batch.num_rows:
+            ok = pa.array((unit(stack(batch, dim, "va")) * unit(stack(batch, dim, "vb"))).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
 
 def clusters(df: DataFrame, id_col: str, col: str, least: float = LEAST, margin: float = MARGIN, tile: int = TILE):
@@ -284,11 +300,18 @@ def clusters(df: DataFrame, id_col: str, col: str, least: float = LEAST, margin:
     model = fit(vectors, dim)
     if model is None:
         return spark.createDataFrame([], "node long, root long"), None, None, dim
-    sizes = vectors.mapInArrow(lambda it: _shipped(it, dim, model, margin, None), "block long, n long").groupBy("block").agg(F.sum("n"))
-    chunks = {r[0]: min(4095, -(-r[1] // tile)) for r in sizes.collect()}  # a row for each component
-    shipped = vectors.mapInArrow(lambda it: _shipped(it, dim, model, margin, chunks), "block long, side int, id long, v binary")
-    links = shipped.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _linked(it, dim, least), "a long, b long")
-    edges = stage(links.unionByName(members.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))), "links")
+    sizes = vectors.mapInArrow(lambda it: _shipped(it, dim, model, margin, None), "block long, n long, h long").groupBy("block").agg(F.sum("n"), F.sum("h"))
+    chunks = {r[0]: (max(1, -(-r[2] // tile)), max(1, -(-r[1] // tile))) for r in sizes.collect()}  # a row for each component
+    if max(max(c) for c in chunks.values()) > MOST_CHUNKS:
+        raise ValueError(f"a component has more than {MOST_CHUNKS} chunks of {tile} vectors: give more components or larger tiles")
+    shipped = vectors.mapInArrow(lambda it: _shipped(it, dim, model, margin, chunks), "block long, flag int, id long, d binary")
+    links = stage(shipped.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _linked(it, dim, least), "a long, b long, sure boolean"), "links")
+    unsure = links.where("not sure").select("a", "b").distinct()
+    va, vb = vectors.toDF("a", "va").dropDuplicates(["a"]), vectors.toDF("b", "vb").dropDuplicates(["b"])
+    told = unsure.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(lambda it: _close(it, dim, least), "a long, b long")
+    copies = members.where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    edges = stage(links.where("sure").select("a", "b").unionByName(told).unionByName(copies), "edges")
+    drop(links)
     return components(edges), model, vectors, dim
 
 
