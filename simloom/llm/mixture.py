@@ -28,7 +28,7 @@ from .vectors import dimension, equal_classes, stack, unit
 
 FEATURES, COMPONENTS, ROUNDS = 32, (16, 32, 64), 6
 SHRINK, PRIOR = 0.05, 4.0  # ridge; rows per dimension that the whole table's covariance weighs in each component's
-LEAST, MARGIN, TILE, ROWS = 0.75, 6.0, 40_000, 1024
+LEAST, MARGIN, TILE, ROWS = 0.75, 8.0, 40_000, 1024
 MOST_CHUNKS = 4095
 UNSURE = 6e-5  # cosines of 16-bit directions that are nearer to the bar are computed again
 
