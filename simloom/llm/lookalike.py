@@ -107,7 +107,7 @@ class Rewriter:
         if not s or s.isascii() or not self.worth.search(s):
             return s
         s = unicodedata.normalize("NFC", s)
-        for _ in range(8):
+        for _ in range(len(s) + 2):
             out, at = [], 0
             for end, (n, best) in self.machine.iter_long(s):
                 out += (s[at : end - n + 1], best)
@@ -116,9 +116,9 @@ class Rewriter:
                 return s
             new = "".join(out) + s[at:]
             if new == s:
-                break
+                return s
             s = new
-        return s
+        raise RuntimeError("rewriting doesn't end: two members stand for one another")
 
 
 def _has_letters(s: str) -> bool:
@@ -152,21 +152,39 @@ def chosen_forms(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return representatives(classes, member_counts(df, columns, classes))
 
 
+KEYS = ["field", "k1", "k2"]
+
+
+def _looks(df: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(field, k1, k2, id, raw): rows by their look; and the looks that are stored in more than one form."""
+    to = chosen_forms(df, columns)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(columns)))
+    keyed = stage(rows.mapInArrow(lambda it: _keyed(it, to, columns), f"id long, {PAIR_KEY}"), "looks")
+    return keyed, keyed.groupBy(*KEYS).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*KEYS)
+
+
 def alike_pairs_of_rows(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """(a, b), a < b: rows whose values in the same column look alike and differ as stored.
 
     A class of rows yields pairs only between its different stored forms; classes of one form yield none and are
     dropped before rows meet.
     """
-    to = chosen_forms(df, columns)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(columns)))
-    keyed = rows.mapInArrow(lambda it: _keyed(it, to, columns), f"id long, {PAIR_KEY}")
-    keys = ["field", "k1", "k2"]
-    keyed = stage(keyed, "looks")
-    mixed = keyed.groupBy(*keys).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*keys)
-    members = stage(keyed.join(mixed, keys).distinct(), "alike")
+    keyed, mixed = _looks(df, id_col, columns)
+    members = stage(keyed.join(mixed, KEYS).distinct(), "alike")
     a, b = members.withColumnRenamed("id", "a"), members.withColumnsRenamed({"id": "b", "raw": "raw_b"})
-    return a.join(b, keys).where("raw <> raw_b and a < b").select("a", "b").distinct()
+    return a.join(b, KEYS).where("raw <> raw_b and a < b").select("a", "b").distinct()
+
+
+def alike_classes(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """(id_col, field, first, links): every row of a look that is stored in several forms, the look's smallest row, and to
+    how many rows of another form it is linked. Links are counted from the sizes of forms; no pair is formed."""
+    keyed, mixed = _looks(df, id_col, columns)
+    members = keyed.join(mixed, KEYS).distinct()
+    forms = stage(members.groupBy(*KEYS, "raw").agg(F.count("*").alias("n"), F.min("id").alias("first")), "forms")
+    looks = forms.groupBy(*KEYS).agg(F.sum("n").alias("all"), F.min("first").alias("first"))
+    sizes = forms.select(*KEYS, "raw", "n").join(looks, KEYS)
+    names = F.array(*(F.lit(c) for c in columns))
+    return members.join(sizes, [*KEYS, "raw"]).select(F.col("id").alias(id_col), F.get(names, F.col("field")).alias("field"), "first", (F.col("all") - F.col("n")).alias("links"))
 
 
 def _rewritten(batches, to: dict[str, str], places: list[int]):

@@ -2,13 +2,14 @@
 
 Every document's tokens are counted with a public tokenizer, and a hash of its number and the seed gives it a uniform
 number.  A source's documents are repeated as often as a Poisson variable of the source's mean says at that number, at
-most ``max_repeats`` times.  The mean is found by bisection on the tokens that really come out, in passes over
-(source, tokens, uniform number) that try many means at once, so shares are met up to about one document.  The mixture
+most ``max_repeats`` times.  The mean is found by bisection on a histogram of the source's tokens over the uniform
+number, taken in one pass over all documents; shares are met to about a 4096th of a source.  The mixture
 is as large as the scarcest source allows at its cap.  Copies are then shuffled globally by a hash.
 
 Cases: a missing or blank source is 'unknown' and, like any source without a target, left out of the mixture and
 reported with target 0; a target without documents is reported with 0 tokens and its share is missed; null and empty
-texts count 0 tokens and are left out; repeated document numbers are one document (smallest text); ties of hashes go to
+texts count 0 tokens and are left out; repeated document numbers are one document (of the smallest source, then the
+fewest tokens, then the smallest hash of the text); ties of hashes go to
 the smaller number.
 """
 
@@ -27,7 +28,8 @@ from .frames import stage
 TOKENIZERS = os.environ.get("SIMLOOM_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SEED = 20_240_607
-STEPS, PASSES = 64, 3
+STEPS = 4096  # shares are met to about this part of a source
+MOST_TARGETS = 1000
 # Fixed value: how the vocabulary's authors cut text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -47,15 +49,15 @@ def _counted(batches, path: str):
     enc = _encoders.get(path) or _encoders.setdefault(path, _encoder(path))
     for batch in batches:
         n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(n, pa.int64())], ["id", "source", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("h"), pa.array(n, pa.int64())], ["id", "source", "h", "tokens"])
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, source: Column, tokenizer: str = TOKENIZER, folder: str = TOKENIZERS) -> DataFrame:
-    """(id, source, tokens, u): u in (0, 1) by a hash of the number and the seed."""
+    """(id, source, tokens, h, u): h hashes the text; u in (0, 1) by a hash of the number and the seed."""
     path = os.path.join(folder, tokenizer)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), source.alias("source"), F.col(text).cast("string").alias("text")).where("id is not null and length(text) > 0")
-    counted = rows.mapInArrow(lambda it: _counted(it, path), "id long, source string, tokens long")
-    once = counted.groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("id", "x.source", "x.tokens")
+    counted = rows.withColumn("h", F.xxhash64("text")).mapInArrow(lambda it: _counted(it, path), "id long, source string, h long, tokens long")
+    once = counted.groupBy("id").agg(F.min(F.struct("source", "tokens", "h")).alias("x")).select("id", "x.source", "x.tokens", "x.h")
     u = (F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return once.where("tokens > 0").withColumn("u", u)
 
@@ -77,30 +79,31 @@ def _repeats(u: Column, steps: list[float]) -> Column:
     return out
 
 
+def tokens_at(histogram: np.ndarray, mean: float, cap: int) -> float:
+    """Tokens that come out at a mean, from a source's tokens by equal steps of the uniform number."""
+    above = np.append(histogram[::-1].cumsum()[::-1], 0.0)  # tokens from each step's lower edge on
+    at = np.array(poisson_steps(mean, cap)) * len(histogram)
+    low = np.minimum(at.astype(int), len(histogram) - 1)
+    return float((above[low] - (at - low) * histogram[low]).sum())
+
+
 def means_for(sized: DataFrame, goals: dict[str, float], caps: dict[str, int]) -> dict[str, float]:
-    """Per source the Poisson mean whose realised, capped tokens come closest to the goal."""
-    lo, hi = dict.fromkeys(goals, 0.0), {s: 60.0 for s in goals}
-    best: dict[str, tuple[float, float]] = {}
-    for _ in range(PASSES):
-        grid = {s: np.linspace(lo[s], hi[s], STEPS).tolist() for s in goals}
-        tried = [(s, k, *(poisson_steps(m, caps[s]) + [2.0] * (max(caps.values()) - caps[s]))) for s, g in grid.items() for k, m in enumerate(g)]
-        wide = max(caps.values())
-        cuts = sized.sparkSession.createDataFrame(tried, "s string, k int" + "".join(f", c{i} double" for i in range(wide)))
-        n = F.lit(0)
-        for i in range(wide):
-            n = n + F.when(F.col("u") >= F.col(f"c{i}"), 1).otherwise(0)
-        # the tried means are STEPS rows for each source
-        sums = sized.join(F.broadcast(cuts), F.col("source") == F.col("s")).groupBy("s", "k").agg(F.sum(F.col("tokens") * n).alias("t")).collect()
-        got: dict[str, dict[int, int]] = {}
-        for s, k, t in sums:
-            got.setdefault(s, {})[k] = t
-        for s, row in got.items():
-            for k, t in row.items():
-                if s not in best or abs(t - goals[s]) < best[s][0]:
-                    best[s] = (abs(t - goals[s]), grid[s][k])
-            below = max((k for k, t in row.items() if t <= goals[s]), default=0)
-            lo[s], hi[s] = grid[s][below], grid[s][min(below + 1, STEPS - 1)]
-    return {s: b[1] for s, b in best.items()}
+    """Per source the Poisson mean whose capped tokens come closest to the goal.
+
+    One pass: the driver gets each source's tokens by STEPS equal steps of the uniform number, and inverts the sum.
+    """
+    rows = sized.where(F.col("source").isin([*goals])).groupBy("source", F.floor(F.col("u") * STEPS).cast("int").alias("step")).agg(F.sum("tokens").alias("t"))
+    histograms = {s: np.zeros(STEPS) for s in goals}
+    for s, step, t in rows.collect():
+        histograms[s][step] = t
+    means = {}
+    for s, goal in goals.items():
+        lo, hi = 0.0, caps[s] + 12 * float(np.sqrt(caps[s])) + 40  # at the upper end all documents are at the cap
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if tokens_at(histograms[s], mid, caps[s]) < goal else (lo, mid)
+        means[s] = hi
+    return means
 
 
 def plan(sized: DataFrame, targets: list[tuple[str, float, int]]):
@@ -120,14 +123,14 @@ def mixture(docs: DataFrame, doc_id: str, text: str, source: Column, targets: li
     n = F.lit(0)
     for s, m in means.items():
         n = F.when(F.col("source") == s, _repeats(F.col("u"), poisson_steps(m, caps[s]))).otherwise(n)
-    return sized.select("id", "source", "tokens", n.cast("int").alias("n")), sized, goals
+    return sized.select("id", "source", "tokens", "h", n.cast("int").alias("n")), sized, goals
 
 
 def mixed(docs: DataFrame, doc_id: str, text: str, source: Column, targets, seed: int = SEED, **kw) -> DataFrame:
     """(place, id, copy, source, tokens, text): all copies, shuffled globally; place is the hash that orders them."""
     repeats = mixture(docs, doc_id, text, source, targets, **kw)[0].where("n > 0")
     texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("text")).where("d is not null")
-    each = repeats.join(texts, F.col("id") == F.col("d")).groupBy("id", "source", "tokens", "n").agg(F.min("text").alias("text"))
+    each = repeats.join(texts, (F.col("id") == F.col("d")) & (F.col("h") == F.xxhash64("text"))).groupBy("id", "source", "tokens", "n").agg(F.min("text").alias("text"))
     copies = each.select("id", "source", "tokens", "text", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
     placed = copies.select(F.xxhash64("id", "copy", F.lit(seed)).alias("place"), "id", "copy", "source", "tokens", "text")
     return placed.repartitionByRange("place").sortWithinPartitions("place", "id", "copy")

@@ -30,7 +30,7 @@ GROUPS = 128
 LEAF = 128
 #: A token in more than one of so many texts is frequent: it comes last in the order, whatever its hash.
 RARE = 200
-#: Points that share one key; beyond it keys of more tokens are used.
+#: Points that share one key: keys have as many tokens as bring the usual key below it, and a key beyond it is cut into tiles.
 BLOCK = 20_000
 
 
@@ -48,8 +48,8 @@ def _tokenised(batches, text_a: str, text_b: str):
                     ends.append(len(flat))
                     ids.append(i)
                     flags.append(flag)
-        values = (np.array(flat, np.int64) >> 32).astype(np.int32)  # the order stays
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["id", "flag", "elems"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags, pa.int32()), lists], ["id", "flag", "elems"])
 
 
 def needed(n):
@@ -69,7 +69,7 @@ def _entries(batches, rank: dict[int, int], levels: int):
         ids, flags, lists = batch.column("id").to_numpy(), batch.column("flag").to_numpy(), batch.column("elems")
         values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         keys, rows, info, low, high = [], [], [], [], []
-        group = (values.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(25)
+        group = (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
         for k in range(len(ids)):
             e = values[offsets[k] : offsets[k + 1]]
             bits = 0
@@ -94,10 +94,11 @@ def _entries(batches, rank: dict[int, int], levels: int):
 class CountTree:
     """R-tree over group counts, packed bottom-up; all pairs of points whose bound reaches the threshold."""
 
-    def __init__(self, ids, info, low, high):
+    def __init__(self, ids, info, low, high, side):
         n, extra = (info >> 2) & 0x3FFFFFFF, info >> 32
         order = np.lexsort((high, low, n))
         self.ids, self.flag, self.n, self.extra = ids[order], (info & 3)[order], n[order].astype(np.int32), extra[order].astype(np.int32)
+        self.side = side[order]
         self.low, self.high = low.view(np.uint64)[order], high.view(np.uint64)[order]
         starts = np.arange(0, len(ids), LEAF)
         self.starts, self.ends = starts, np.minimum(starts + LEAF, len(ids))
@@ -128,7 +129,7 @@ class CountTree:
                     most = np.maximum(self.n[s:e, None], self.n[None, x:y])
                     p, q = np.nonzero(over >= needed(most).astype(np.int32))
                     p, q = p + s, q + x
-                    keep = (p < q) & ((self.flag[p] & self.flag[q]) > 0) & (self.ids[p] != self.ids[q])
+                    keep = (p < q) & ((self.flag[p] & self.flag[q]) > 0) & (self.ids[p] != self.ids[q]) & ((self.side[p] == 2) | (self.side[p] != self.side[q]))
                     if keep.any():
                         yield self.ids[p[keep]], self.flag[p[keep]], self.ids[q[keep]], self.flag[q[keep]]
 
@@ -157,7 +158,7 @@ def _search(batches):
         if sum(p.num_rows for p in block) < 2:
             continue
         t = pa.Table.from_batches(block)
-        tree = CountTree(*(t.column(c).to_numpy() for c in ("id", "info", "low", "high")))
+        tree = CountTree(*(t.column(c).to_numpy() for c in ("id", "info", "low", "high", "side")))
         for found in tree.pairs():
             a, fa, b, fb = found
             swap = (a > b) | ((a == b) & (fa > fb))
@@ -165,6 +166,22 @@ def _search(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(fa.astype(np.int32)), pa.array(b), pa.array(fb.astype(np.int32))], names)
 
 
+def tiled(entries: DataFrame, block: int) -> DataFrame:
+    """The entries with a side. A key of more than block points is cut into chunks by a hash of the row; every two chunks
+    make a tile with a key of its own (sides 0 and 1), and every chunk with itself (side 2). No other key is touched.
+
+    Keys of more than block points are fewer than the entries over block; they are joined, not collected.
+    """
+    hot = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("hot"), F.ceil(F.col("n") / block).cast("int").alias("chunks"))
+    named = entries.join(hot, F.col("key") == F.col("hot"), "left").drop("hot")
+    plain = named.where("chunks is null").drop("chunks").withColumn("side", F.lit(2))
+    cut = named.where("chunks is not null").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(5)), F.col("chunks")).cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("mine") == F.col("with"), 2).otherwise((F.col("mine") > F.col("with")).cast("int"))
+    tile = F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with"))
+    return plain.unionByName(cut.withColumn("side", side).withColumn("key", tile).select(*plain.columns))
+
+
 def key_levels(rows: int, vocabulary: int) -> int:
     """Tokens in a key, so that about BLOCK points share one: few for small tables, more as they grow."""
     levels, prefix = 1, 5
@@ -176,24 +193,24 @@ def key_levels(rows: int, vocabulary: int) -> int:
 def near_duplicates(df: DataFrame, id_col: str, text_a: str, text_b: str) -> DataFrame:
     """(node, root) for every row that is close to another in a field both have, directly or through others."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_a).cast("string").alias("a"), F.col(text_b).cast("string").alias("b"))
-    tokens = stage(rows.mapInArrow(lambda it: _tokenised(it, "a", "b"), "id long, flag int, elems array<int>"), "tokens")
+    tokens = stage(rows.mapInArrow(lambda it: _tokenised(it, "a", "b"), "id long, flag int, elems array<long>"), "tokens")
     total = tokens.count()
     counts = tokens.select(F.explode("elems").alias("e")).groupBy("e").count()
     frequent = counts.where(F.col("count") * RARE > total).collect()  # fewer than RARE times the mean length, whatever the table's size
     rank = {r[0]: k for k, r in enumerate(sorted(frequent, key=lambda r: (r[1], r[0])))}
-    levels = key_levels(total, counts.count()) if total > BLOCK * 100 else 1
+    levels = key_levels(total, counts.count())
     hashed = tokens.select("id", "flag", "elems", F.xxhash64("elems").alias("h1"), F.xxhash64("elems", F.lit(7)).alias("h2"))
     classes = stage(hashed.groupBy("h1", "h2", "flag").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("elems").alias("elems")), "classes")
     several = classes.where("n > 1").select("h1", "h2", "flag", F.col("id").alias("rep"))
     copies = hashed.drop("elems").join(several, ["h1", "h2", "flag"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    entries = classes.select("id", "flag", "elems").mapInArrow(lambda it: _entries(it, rank, levels), "key long, id long, info long, low long, high long")
-    found = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_search, "id_a long, flag_a int, id_b long, flag_b int").distinct()
+    entries = stage(classes.select("id", "flag", "elems").mapInArrow(lambda it: _entries(it, rank, levels), "key long, id long, info long, low long, high long"), "entries")
+    found = tiled(entries, BLOCK).repartition("key").sortWithinPartitions("key").mapInArrow(_search, "id_a long, flag_a int, id_b long, flag_b int").distinct()
     side = classes.select("id", "flag", "elems")
     a, b = side.toDF("id_a", "flag_a", "elems_a"), side.toDF("id_b", "flag_b", "elems_b")
     met = found.join(a, ["id_a", "flag_a"]).join(b, ["id_b", "flag_b"])
     close = met.where(5 * F.size(F.array_intersect("elems_a", "elems_b")) >= 4 * F.greatest(F.size("elems_a"), F.size("elems_b")))
     edges = stage(close.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(copies), "links")
-    drop(tokens, classes)
+    drop(tokens, classes, entries)
     return components(edges)
 
 

@@ -39,14 +39,16 @@ def _tokenised(batches, extra: list[str]):
         yield pa.RecordBatch.from_arrays([batch.column("id"), arrays(batch.column("a").to_pylist()), arrays(batch.column("b").to_pylist()), *(batch.column(c) for c in extra)], ["id", "ea", "eb", *extra])
 
 
-def records(df: DataFrame, id_col: str, a: str, b: str, order: list[str] = (), extra: dict[str, Column] | None = None) -> DataFrame:
+def records(df: DataFrame, id_col: str, a: str, b: str, order: list[str] = (), extra: dict[str, Column] | None = None, per: list[str] = ()) -> DataFrame:
     """(id, ea, eb, h1, h2, extra...): one row for each ID, the first by the order columns, with its content class.
 
+    per names extra columns that make one ID several records.
+
     Rows without an ID, and rows of which a sentence has no token, are left out.
     """
     extra = extra or {}
     cols = [F.col(id_col).cast("string").alias("id"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), *(c.alias(n) for n, c in extra.items())]
-    rows = first_by(df.select(*cols).where("id is not null"), ["id"], *(f"_o{k}" for k in range(len(order))), "a", "b", *extra).select("id", "a", "b", *extra)
+    rows = first_by(df.select(*cols).where("id is not null"), ["id", *per], *(f"_o{k}" for k in range(len(order))), "a", "b", *extra).select("id", "a", "b", *extra)
     kinds = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in extra)
     names = list(extra)
     out = rows.mapInArrow(lambda it: _tokenised(it, names), RECORD + kinds).where("size(ea) > 0 and size(eb) > 0")
@@ -129,12 +131,39 @@ def verified(met: DataFrame, left: DataFrame, right: DataFrame, *more: str) -> D
     return both.where((_near("ea", "ra") & _near("eb", "rb")) | (_near("ea", "rb") & _near("eb", "ra"))).select(*CLASS, "g1", "g2", "first", "first_r", *more)
 
 
-def cross_overlaps(recs: DataFrame, side: str) -> DataFrame:
-    """(id, other): every record whose side is 'eval' with every record whose side is 'train' that it repeats."""
+def overlapping_classes(recs: DataFrame, side: str) -> DataFrame:
+    """(h1, h2, g1, g2): content classes of 'eval' records with those of 'train' records that they repeat.
+
+    First the canonical record hashes of either side are joined, which finds all records of equal content; what is near
+    but not equal comes from shared keys.
+    """
     rank = frequent_tokens(recs)
     evals, trains = stage(classes_of(recs.where(F.col(side) == "eval")), "evals"), stage(classes_of(recs.where(F.col(side) == "train")), "trains")
-    met = meeting(entries_of(evals, rank), entries_of(trains, rank))
+    same = evals.select(*CLASS).join(trains.select(*CLASS), CLASS).select(*CLASS, F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    met = meeting(entries_of(evals, rank), entries_of(trains, rank)).where("h1 <> g1 or h2 <> g2")
     close = verified(met, evals, trains).select(*CLASS, "g1", "g2")
+    return stage(same.unionByName(close), "overlaps")
+
+
+def cross_overlaps(recs: DataFrame, side: str) -> DataFrame:
+    """(id, other): every record whose side is 'eval' with every record whose side is 'train' that it repeats.
+
+    An ID on both sides is a record on either, and repeats itself if its content does.
+    """
+    close = overlapping_classes(recs, side)
     left = recs.where(F.col(side) == "eval").select(*CLASS, "id")
     right = recs.where(F.col(side) == "train").select("h1", "h2", "id").toDF("g1", "g2", "other")
     return close.join(left, CLASS).join(right, ["g1", "g2"]).select("id", "other")
+
+
+def overlap_counts(recs: DataFrame, side: str, *by: str) -> DataFrame:
+    """(by..., records, leaked, pairs): of the 'eval' records, those that repeat 'train' records, and the pairs they make.
+
+    Pairs are counted from the sizes of content classes; none is formed.
+    """
+    close = overlapping_classes(recs, side)
+    sizes = recs.where(F.col(side) == "train").groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).count()
+    hits = close.join(sizes, ["g1", "g2"]).groupBy(*CLASS).agg(F.sum("count").alias("n"))
+    rows = recs.where(F.col(side) == "eval").groupBy(*by, *CLASS).agg(F.count("*").alias("m")).join(hits, CLASS, "left")
+    zero = F.lit(0).cast("long")
+    return rows.groupBy(*by).agg(F.sum("m").alias("records"), F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("m"))), zero).alias("leaked"), F.coalesce(F.sum(F.col("m") * F.col("n")), zero).alias("pairs"))

@@ -23,7 +23,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     name = _split_name("split_name")
     side = F.when(name == "train", "train").when(name.isin("validation", "test"), "eval")
     source = F.coalesce("set_source", F.lit("unknown"))
-    return pairs.records(table(spark, d, "scored_pairs"), "ID", "SentenceA", "SentenceB", extra={"side": side, "split": name, "source": source})
+    return pairs.records(table(spark, d, "scored_pairs"), "ID", "SentenceA", "SentenceB", extra={"side": side, "split": name, "source": source}, per=["side"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,10 +33,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_overlap_by_split(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation split and source: its records, those that stand in train, and the pairs they make."""
-    recs = _scored(spark, d)
-    hits = pairs.cross_overlaps(recs, "side").groupBy("id").agg(F.count("*").alias("n"))
-    rows = recs.where("side = 'eval'").join(hits, "id", "left")
-    return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("leaked"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    return pairs.overlap_counts(_scored(spark, d), "side", "split", "source")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +70,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_pairs_of_rows(table(spark, d, "segments"), "seg_no", TEXTS).toDF("seg_no_a", "seg_no_b")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.alike_classes(table(spark, d, "segments"), "seg_no", TEXTS)
+
+
 def p3_one_form(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(table(spark, d, "segments").select("seg_no", *TEXTS), TEXTS)
 
@@ -103,8 +104,10 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, d: str) -> list[tuple[str, float, int]]:
-    rows = table(spark, d, "mix_targets").select("source_name", "target_share", "max_repeats").dropna().limit(10_000)
-    return sorted(tuple(r) for r in rows.collect())
+    rows = table(spark, d, "mix_targets").select("source_name", "target_share", "max_repeats").dropna().limit(mixing.MOST_TARGETS + 1).collect()
+    if len(rows) > mixing.MOST_TARGETS:
+        raise ValueError(f"more than {mixing.MOST_TARGETS} targets")
+    return sorted(tuple(r) for r in rows)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p3_one_form": p3_one_form,
     "p8_found": p8_found,
     "p8_items": p8_items,

@@ -60,7 +60,8 @@ def related(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
 def choose(sizes: dict[int, int], targets: list[float], bits: int = 1 << 21) -> list[dict[int, int]]:
     """For each target in turn, how many groups of each size to take so that the total comes closest to it.
 
-    Sizes are counted in units, so that no target needs more bits than given; a unit is one record up to that.
+    Sizes are counted in units, so that no target needs more bits than given; a unit is one record up to that.  Beyond it
+    what units leave open is filled up, or given back, with the largest groups that fit, down to single records.
     """
     left, out = dict(sizes), []
     for target in targets:
@@ -87,6 +88,12 @@ def choose(sizes: dict[int, int], targets: list[float], bits: int = 1 << 21) ->
                 total -= units
                 taken[size] = taken.get(size, 0) + n
                 left[size] -= n
+        open_ = round(target) - sum(s * n for s, n in taken.items())
+        for size in sorted(left, reverse=True):
+            if unit > 1 and open_ > 0 and (n := min(left[size], open_ // size)):
+                taken[size], left[size], open_ = taken.get(size, 0) + n, left[size] - n, open_ - n * size
+            elif unit > 1 and open_ < 0 and (n := min(taken.get(size, 0), -open_ // size)):
+                taken[size], left[size], open_ = taken[size] - n, left[size] + n, open_ + n * size
         out.append(taken)
     return out
 

@@ -73,7 +73,10 @@ def test_more_tokens_in_a_key_lose_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "n long, a string, b string")
     one = {tuple(r) for r in near_dup.near_duplicates(df, "n", "a", "b").collect()}
     monkeypatch.setattr(near_dup, "key_levels", lambda rows, vocabulary: 3)
-    monkeypatch.setattr(near_dup, "BLOCK", 0)
+    assert {tuple(r) for r in near_dup.near_duplicates(df, "n", "a", "b").collect()} == one
+    # hot keys in tiles
+    monkeypatch.setattr(near_dup, "key_levels", lambda rows, vocabulary: 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
     assert {tuple(r) for r in near_dup.near_duplicates(df, "n", "a", "b").collect()} == one
 
 
@@ -137,6 +140,12 @@ def test_cross_split_overlaps(spark):
     recs = pairs.records(df, "ID", "A", "B", extra={"side": F.col("side")})
     want = {(x[0], y[0]) for x in rows for y in rows if x[3] == "eval" and y[3] == "train" and repeat(x, y)}
     assert {tuple(r) for r in pairs.cross_overlaps(recs, "side").collect()} == want
+    (n,) = pairs.overlap_counts(recs.withColumn("all", F.lit(1)), "side", "all").collect()
+    with_tokens = [r for r in rows if r[3] == "eval" and r[1]]
+    assert (n["records"], n["leaked"], n["pairs"]) == (len(with_tokens), len({a for a, _ in want}), len(want))
+    # an ID in both splits is the plainest leak
+    twice = pairs.records(spark.createDataFrame([("t1", "ka kha", "ga", "eval"), ("t1", "ka kha", "ga", "train")], "ID string, A string, B string, side string"), "ID", "A", "B", extra={"side": F.col("side")}, per=["side"])
+    assert [tuple(r) for r in pairs.cross_overlaps(twice, "side").collect()] == [("t1", "t1")]
 
 
 def test_alike_rows(spark):
@@ -145,6 +154,12 @@ def test_alike_rows(spark):
     got = {tuple(r) for r in lookalike.alike_pairs_of_rows(df, "n", ["a", "b"]).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
     assert lookalike.alike_pairs_of_rows(df.limit(0), "n", ["a", "b"]).count() == 0
+    links = {}
+    for a, b in got:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    classes = [tuple(r) for r in lookalike.alike_classes(df, "n", ["a", "b"]).collect()]
+    assert {n: k for n, f, _, k in classes if f == "a"} == links
+    assert {(n, f, first) for n, f, first, _ in classes} >= {(1, "a", 1), (2, "a", 1), (4, "a", 1), (2, "b", 2), (3, "b", 2)}
     one = {r["n"]: r["a"] for r in lookalike.one_form(df, ["a", "b"]).collect()}
     assert one[1] == one[2] == one[3] and one[5] == "Ka kha" and one[7] is None
 
@@ -163,6 +178,12 @@ def test_subset_sums_come_as_close_as_groups_allow(sizes, targets):
             left[s] -= n
 
 
+def test_units_beyond_the_bits_are_filled_up():
+    sizes = {1: 500, 7: 300, 90: 40, 4000: 3}
+    for taken in splits.choose(sizes, [1234.0, 1234.0], bits=64):
+        assert sum(s * n for s, n in taken.items()) == 1234
+
+
 def test_related_records_stay_together(spark):
     assert splits.anchor_of("TSET-0001-002-03") == splits.anchor_of("tset_1_2_99") != splits.anchor_of("tset_1_3_99") and splits.anchor_of("x") is None
     rng = random.Random(6)

@@ -140,6 +140,7 @@ def test_mixture_meets_shares_and_caps(spark):
     for r in mix:
         copies[r["id"]] = copies.get(r["id"], 0) + 1
     caps = {"big": 1, "small": 3}
+    assert all(r["tokens"] == len(r["text"].split()) for r in mix)  # text and size are of the same row
     assert all(copies[r["id"]] <= caps[r["source"]] for r in mix) and sum(r["tokens"] for r in mix if r["source"] == "small") == share["small"]["tokens_mixed"]
     assert mixing.shares(df.limit(0), "d", "t", source, targets).where("tokens_mixed > 0").count() == 0
 
