@@ -57,43 +57,51 @@ def related(df: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     return components(ties(df, id_col, a, b))
 
 
+def _subset(left: dict[int, int], target: int, unit: int) -> dict[int, int]:
+    """How many groups of each size to take, so that their total in units comes closest to the target; sizes rounded up."""
+    goal = target // unit
+    items = []  # (units, size, how many): multiplicities by powers of two
+    for size in sorted(left, reverse=True):
+        n, k = left[size], 1
+        while n > 0:
+            k = min(k, n)
+            if size * k <= 2 * target + 1:
+                items.append((-(-size * k // unit), size, k))
+            n -= k
+            k *= 2
+    mask = (1 << (2 * goal + 2)) - 1
+    reach = [1]
+    for units, _, _ in items:
+        reach.append((reach[-1] | reach[-1] << units) & mask)
+    near = (t for d in range(goal + 2) for t in ((goal - d, goal + d) if unit == 1 else (goal - d,)))  # rough steps stay below the target
+    total = next((t for t in near if t >= 0 and reach[-1] >> t & 1), 0)
+    taken: dict[int, int] = {}
+    for k in range(len(items) - 1, -1, -1):
+        units, size, n = items[k]
+        if not reach[k] >> total & 1:
+            total -= units
+            taken[size] = taken.get(size, 0) + n
+    return taken
+
+
 def choose(sizes: dict[int, int], targets: list[float], bits: int = 1 << 21) -> list[dict[int, int]]:
     """For each target in turn, how many groups of each size to take so that the total comes closest to it.
 
-    Sizes are counted in units, so that no target needs more bits than given; a unit is one record up to that.  Beyond it
-    what units leave open is filled up, or given back, with the largest groups that fit, down to single records.
+    The bits of one integer stand for the totals that can be reached.  A target that needs more bits than given is first
+    met to nine tenths in units, then what is left likewise, until single records fit the bits and count exactly.
     """
     left, out = dict(sizes), []
     for target in targets:
-        unit = max(1, -(-int(target) * 2 // bits))
-        goal = round(target / unit)
-        items = []  # (units, size, how many): multiplicities by powers of two
-        for size in sorted(left, reverse=True):
-            n, k = left[size], 1
-            while n > 0:
-                k = min(k, n)
-                if size * k <= 2 * target + unit:
-                    items.append((max(1, round(size * k / unit)), size, k))
-                n -= k
-                k *= 2
-        mask = (1 << (2 * goal + 2)) - 1
-        reach = [1]
-        for units, _, _ in items:
-            reach.append((reach[-1] | reach[-1] << units) & mask)
-        total = next((t for d in range(goal + 2) for t in (goal - d, goal + d) if t >= 0 and reach[-1] >> t & 1), 0)
-        taken: dict[int, int] = {}
-        for k in range(len(items) - 1, -1, -1):
-            units, size, n = items[k]
-            if not reach[k] >> total & 1:
-                total -= units
+        rest, taken = round(target), {}
+        while rest > 0:
+            unit = max(1, -(-rest * 2 // bits))
+            some = _subset(left, rest if unit == 1 else rest * 9 // 10, unit)
+            for size, n in some.items():
                 taken[size] = taken.get(size, 0) + n
                 left[size] -= n
-        open_ = round(target) - sum(s * n for s, n in taken.items())
-        for size in sorted(left, reverse=True):
-            if unit > 1 and open_ > 0 and (n := min(left[size], open_ // size)):
-                taken[size], left[size], open_ = taken.get(size, 0) + n, left[size] - n, open_ - n * size
-            elif unit > 1 and open_ < 0 and (n := min(taken.get(size, 0), -open_ // size)):
-                taken[size], left[size], open_ = taken[size] - n, left[size] + n, open_ + n * size
+                rest -= size * n
+            if unit == 1 or not some:
+                break
         out.append(taken)
     return out
 

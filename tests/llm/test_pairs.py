@@ -178,10 +178,10 @@ def test_subset_sums_come_as_close_as_groups_allow(sizes, targets):
             left[s] -= n
 
 
-def test_units_beyond_the_bits_are_filled_up():
+def test_targets_beyond_the_bits_are_met_to_single_records():
     sizes = {1: 500, 7: 300, 90: 40, 4000: 3}
-    for taken in splits.choose(sizes, [1234.0, 1234.0], bits=64):
-        assert sum(s * n for s, n in taken.items()) == 1234
+    for taken in splits.choose(sizes, [1234.0, 1234.0], bits=512):
+        assert sum(s * n for s, n in taken.items()) == 1234 and all(n <= sizes[s] for s, n in taken.items())
 
 
 def test_related_records_stay_together(spark):
