@@ -20,7 +20,7 @@ def four_tuples(df: DataFrame, id_col: str, rounds: int = 2, seed: int = 42, cel
     out = None
     for r in range(rounds):
         h = hash_order(f"{seed}-{r}", "id")
-        placed = ids.select("id", h.alias("h")).withColumn("cell", F.pmod(F.xxhash64("h"), F.lit(cells)))
+        placed = ids.select("id", h.alias("h")).withColumn("cell", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(cells)))
         w = Window.partitionBy("cell")
         ranked = placed.select("id", "cell", (F.row_number().over(w.orderBy("h", "id")) - 1).alias("k"), F.count("*").over(w).alias("n"))
         short = F.pmod(-F.col("n"), F.lit(4))  # how many the last four lack

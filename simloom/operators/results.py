@@ -99,9 +99,9 @@ def side_by_side(frames: dict[str, DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full"), named)
 
 
-def settings_grid(spark, options: dict[str, list]) -> DataFrame:
-    """All combinations of some options: one exploded row, so no join is needed."""
-    out = spark.range(1).select()
+def settings_grid(spark, options: dict[str, list], base: DataFrame | None = None) -> DataFrame:
+    """All combinations of some options, for each row of a base table if given: rows are exploded, so no join is needed."""
+    out = spark.range(1).select() if base is None else base
     for name, values in options.items():
         out = out.select("*", F.explode(F.array(*(F.lit(v) for v in values))).alias(name))
     return out

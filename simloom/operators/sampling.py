@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_distance
+from .cleaning import with_id
+from .stats import quantiles
 
 
 def hash_order(seed: int | str, *keys: str) -> Column:
@@ -40,7 +45,7 @@ def bin_stats(df: DataFrame, col: str, name: str = "bin") -> DataFrame:
 
 def quantile_bins(df: DataFrame, col: str, bins: int, name: str = "bin") -> DataFrame:
     """Bins between distinct quantiles (linear interpolation), closed on the right."""
-    cuts = df.agg(F.percentile(col, F.array(*(F.lit(k / bins) for k in range(bins + 1))))).first()[0] or []
+    cuts = quantiles(df, col, [k / bins for k in range(bins + 1)]) or []
     inner = sorted(set(cuts))[1:-1]
     return df.withColumn(name, sum((F.when(F.col(col) > e, 1).otherwise(0) for e in inner), F.lit(0)).cast("int"))
 
@@ -100,6 +105,74 @@ def spread_pick(df: DataFrame, k: int, col: str, key: str, cells: int = 4096) ->
     return ranked.join(F.broadcast(wanted), "place", "left_semi").drop("_c", "_b")
 
 
+def decayed_threshold(iteration: int, least: float, most: float, iterations: int, fixed: bool = False) -> float:
+    """The bar falls from most to least with the logarithm of the iteration; fixed keeps it at most; iteration 0 admits nothing."""
+    if fixed:
+        return most
+    return math.inf if iteration == 0 else most - (most - least) / math.log(iterations) * math.log(iteration)
+
+
+def pair_id(iteration: int, batch: str, local: str, rank: str) -> Column:
+    """Iteration, batch, place within it and the neighbour's rank; ascending order is the order of drawing."""
+    return F.format_string(f"pair_{iteration:04d}_%03d_%03d_%02d", batch, local, rank)
+
+
+def beta_thresholds(batches: int, least: float, most: float, a: float | None, b: float | None, seed: int) -> list[float]:
+    """A bar for each batch: most less a Beta-distributed part of the span; without a or b it is least."""
+    if not a or not b:
+        return [least] * batches
+    rng = np.random.default_rng(seed)
+    return [most - float(x) * (most - least) for x in rng.beta(a, b, batches)]
+
+
+def sampled_similar_pairs(queries: DataFrame, near: DataFrame, texts: DataFrame, id_col: str, text: str, k: int, iteration: int = 1, least: float = 0.88, most: float = 0.98, per_batch: int = 250, more_words: int = 5, a: float | None = None, b: float | None = None, seed: int = 42, seen: DataFrame | None = None) -> DataFrame:
+    """(ID, q, c, sim, SentenceA, SentenceB): k pairs of a query and one of its neighbours, drawn batch by batch.
+
+    Queries come in hash order and in batches of per_batch; each batch has its own bar when a and b are given.  A query's
+    neighbours (near has q, c, sim) are visited in hash order; the first that reaches the bar, is no pair of seen (q, c)
+    and differs by more words than given makes the pair.  Places are numbered by ranges of the order, not by one task.
+    """
+    placed = with_id(queries.select(F.col(id_col).alias("q")).where("q is not null").distinct().withColumn("_h", hash_order(seed, "q")), "_place", ["_h", "q"])
+    placed = placed.select("q", F.floor(F.col("_place") / per_batch).cast("int").alias("batch"), "_place")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "c")) - 1).join(placed, "q").where("q <> c")
+    if a and b:
+        n = placed.agg(F.max("batch")).first()[0]
+        bars = F.array(*(F.lit(x) for x in beta_thresholds((n if n is not None else -1) + 1 or 1, least, most, a, b, seed)))
+        close = ranked.where(F.col("sim") >= F.get(bars, F.col("batch")))
+    else:
+        close = ranked.where(F.col("sim") >= least)
+    if seen is not None:
+        close = close.join(seen.select("q", "c"), ["q", "c"], "left_anti")
+    t = texts.select(F.col(id_col).alias("_id"), F.col(text).alias("_t"))
+    far = close.join(t.toDF("q", "SentenceA"), "q").join(t.toDF("c", "SentenceB"), "c").where(word_distance("SentenceA", "SentenceB") > more_words)
+    one = far.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(hash_order(seed, "q", "c"), "c"))).where("_n = 1")
+    first = one.orderBy("_place").limit(k)
+    local = F.row_number().over(Window.partitionBy("batch").orderBy("_place")) - 1
+    return first.withColumn("_local", local).select(pair_id(iteration, "batch", "_local", "rank").alias("ID"), "q", "c", "sim", "SentenceA", "SentenceB")
+
+
+def cluster_sizes(member: DataFrame, clusters: int, name: str = "cluster") -> DataFrame:
+    """(cluster, count) of all clusters, empty ones included."""
+    every = member.sparkSession.range(clusters).select(F.col("id").cast("int").alias(name))
+    return every.join(member.groupBy(F.col(name).alias("_c")).count(), F.col(name) == F.col("_c"), "left").select(name, F.coalesce("count", F.lit(0).cast("long")).alias("count"))
+
+
+def bin_report(df: DataFrame, picked: DataFrame, col: str, key: str, name: str = "bin") -> DataFrame:
+    """bin_stats with how many of each bin were picked, 0 where none."""
+    chosen = df.join(picked.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_semi").groupBy(F.col(name).alias("_b")).agg(F.count("*").alias("count_selected"))
+    return bin_stats(df, col, name).join(chosen, F.col(name) == F.col("_b"), "left").drop("_b").withColumn("count_selected", F.coalesce("count_selected", F.lit(0).cast("long")))
+
+
+def sampled_cluster_pairs(df: DataFrame, id_col: str, vec: str, k: int = 250, clusters: int = 10, pairs: int = 4000, bins: int = 10, seed: int = 42) -> dict[str, DataFrame]:
+    """Five tables of one draw: all pairs with their bin, the k picked and the others, bin statistics, cluster sizes."""
+    drawn = cluster_pairs(df, id_col, vec, clusters, pairs, seed)
+    every = minmax_bins(drawn.withColumn("ID", F.format_string("pair_%02d_%02d_%s_%s", "cluster_a", "cluster_b", F.col("id_a").cast("string"), F.col("id_b").cast("string"))), "cosine_norm", bins)
+    picked = balanced_pick(every, k, bins, "bin", seed, "ID")
+    marked = split_by_pick(every, picked, "ID")
+    ends = every.select(F.explode(F.array(F.struct(F.col("cluster_a").alias("cluster"), F.col("id_a").alias("id")), F.struct(F.col("cluster_b").alias("cluster"), F.col("id_b").alias("id")))).alias("x")).select("x.*").distinct()
+    return {"all_pairs": every, "selected": marked.where("selected").drop("selected"), "not_selected": marked.where("not selected").drop("selected"), "bins": bin_report(every, picked, "cosine_norm", "ID"), "sizes": cluster_sizes(ends, clusters)}
+
+
 def distant_pairs(near: DataFrame, texts: DataFrame, id_col: str, text: str, least: float, more_words: int, k: int, seed: int) -> DataFrame:
     """Sampled pairs: each query's first neighbour, in hash order, that is near enough and differs by more words.
 
@@ -211,3 +284,34 @@ def label_sets(near: DataFrame, words: DataFrame, id_col: str, text: str, per_an
         taken += 1
         out += [(row["q"], k + 1, x["c"], x["sim"], row["mean_sim"]) for k, x in enumerate(row["found"])]
     return near.sparkSession.createDataFrame(out, "anchor long, rank int, candidate long, sim double, mean_sim double")
+
+
+def candidate_pool(near: DataFrame, texts: DataFrame, id_col: str, text: str, pool: int = 100, search: int = 100, closer_than: int | None = 5) -> DataFrame:
+    """(q, c, sim, rank): each anchor's pool. Of the search + 1 nearest the first counts as the anchor itself and goes;
+    near duplicates (at most closer_than words apart; None keeps them) go; the pool nearest that are left stay."""
+    if pool > search:
+        raise ValueError("search must be at least pool")
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
+    rest = near.withColumn("_r", F.row_number().over(order)).where((F.col("_r") > 1) & (F.col("_r") <= search + 1)).drop("_r")
+    if closer_than is not None:
+        t = texts.select(F.col(id_col).alias("_id"), F.col(text).alias("_t"))
+        rest = rest.join(t.toDF("q", "_a"), "q").join(t.toDF("c", "_b"), "c").where(word_distance("_a", "_b") > closer_than).drop("_a", "_b")
+    return rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).select("q", "c", "sim", "rank")
+
+
+def shuffled_numbers(sets: DataFrame, anchor: str, candidate: str, seed: int = 1337) -> DataFrame:
+    """The candidates with a number in hash order within their anchor, so that the list doesn't tell their rank."""
+    order = Window.partitionBy(anchor).orderBy(hash_order(seed, anchor, candidate), candidate)
+    return sets.withColumn("shuffled", F.row_number().over(order))
+
+
+def wide_candidates(sets: DataFrame, anchor: str, rank: str, final: int, **values: str) -> DataFrame:
+    """One row for each anchor with columns cand_01_<name> on; anchors with fewer candidates have nulls."""
+    wanted = [F.max(F.when(F.col(rank) == k, F.col(c))).alias(f"cand_{k:02d}_{n}") for k in range(1, final + 1) for n, c in values.items()]
+    return sets.groupBy(anchor).agg(*wanted)
+
+
+def anchor_blocks(sets: DataFrame, anchor: str, number: str, candidate: str) -> DataFrame:
+    """(block, row, type, id): the anchor's row before its candidates' rows, in the order of their number."""
+    head = sets.select(F.col(anchor).alias("block"), F.lit(0).alias("row"), F.lit("anchor").alias("type"), F.col(anchor).alias("id")).distinct()
+    return head.unionByName(sets.select(F.col(anchor).alias("block"), F.col(number).alias("row"), F.lit("candidate").alias("type"), F.col(candidate).alias("id")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,19 +18,47 @@ def correlation(a: str, b: str) -> Column:
     return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
 
 
-def _constant_safe(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
-    """Groups in which both columns vary; others would divide by zero."""
-    vary = df.groupBy(*groups).agg(F.min(a).alias("_a0"), F.max(a).alias("_a1"), F.min(b).alias("_b0"), F.max(b).alias("_b1"), F.count("*").alias("n"))
-    return vary.select(*groups, "n", ((F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))).alias("_ok"))
-
-
 def pearson(df: DataFrame, groups: list[str], a: str, b: str, name: str = "pearson") -> DataFrame:
+    """(groups..., n, name): one aggregation with partial sums; null where a column is constant in its group."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b))
-    if not groups:
-        return pearson(rows.withColumn("_g", F.lit(1)), ["_g"], a, b, name).drop("_g")
-    vary = _constant_safe(rows, groups, a, b)
-    fine = rows.join(vary.where("_ok").select(*groups), groups, "left_semi").groupBy(*groups).agg(F.corr(a, b).alias(name))
-    return vary.drop("_ok").join(fine, groups, "left")
+    vary = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return rows.groupBy(*groups).agg(F.count("*").alias("n"), F.when(vary, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias(name))
+
+
+def p_value(r: float | None, n: int) -> float | None:
+    """Two-sided chance of a correlation at least as strong where there is none: Student's t by the incomplete beta function."""
+    if r is None or n < 3:
+        return None
+    if r == 0:
+        return 1.0
+    if abs(r) >= 1:
+        return 0.0
+    x, a = 1 - r * r, (n - 2) / 2  # the value is I_x(a, 1/2)
+
+    def fraction(a: float, b: float, x: float) -> float:  # continued fraction of the incomplete beta function
+        tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+        out = d
+        for m in range(1, 500):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / ((1 + num * d) or tiny)
+                c = (1 + num / c) or tiny
+                out *= c * d
+            if abs(c * d - 1) < 1e-15:
+                break
+        return out
+
+    front = math.exp(math.lgamma(a + 0.5) - math.lgamma(a) - math.lgamma(0.5) + a * math.log(x) + 0.5 * math.log1p(-x)) if x > 0 else 0.0
+    return front * fraction(a, 0.5, x) / a if x < (a + 1) / (a + 2.5) else 1 - front * fraction(0.5, a, 1 - x) / 0.5
+
+
+def with_p_value(df: DataFrame, r: str, n: str = "n", name: str = "p_value") -> DataFrame:
+    """A correlation table (a row for each group) with the p-value of one of its columns."""
+
+    @F.pandas_udf("double")
+    def run(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([p_value(None if pd.isna(x) else x, int(m)) for x, m in zip(r, n)], dtype="float64")
+
+    return df.withColumn(name, run(r, n))
 
 
 def average_ranks(df: DataFrame, groups: list[str], col: str, name: str, cells: int = 1024) -> DataFrame:
@@ -46,8 +77,6 @@ def average_ranks(df: DataFrame, groups: list[str], col: str, name: str, cells:
 
 def spearman(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*groups, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b))
-    if not groups:
-        return spearman(rows.withColumn("_g", F.lit(1)), ["_g"], a, b).drop("_g")
     ranked = average_ranks(average_ranks(rows, groups, a, "_ra"), groups, b, "_rb")
     return pearson(ranked, groups, "_ra", "_rb", "spearman")
 
@@ -101,12 +130,53 @@ def kendall(df: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     return out.drop("_g")
 
 
+def quantiles(df: DataFrame, col: str, shares: list[float], cells: int = 4096) -> list[float] | None:
+    """Exact quantiles by linear interpolation. Cells of the value's range are counted first; only the cells that hold a
+    wanted place are sorted, each by itself. The driver gets the cells' counts and the two values of each share."""
+    rows = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
+    lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    cell = F.least(F.floor((F.col("v") - lo) / ((hi - lo) or 1.0) * cells), F.lit(cells - 1)).cast("int")
+    counts = dict(rows.groupBy(cell.alias("c")).count().collect())
+    places = sorted({p for q in shares for p in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
+    before, total, wanted = {}, 0, {}
+    for c in sorted(counts):
+        before[c] = total
+        total += counts[c]
+        if inside := [p for p in places if before[c] <= p < total]:
+            wanted[c] = inside
+    start = F.create_map(*(F.lit(x) for c in wanted for x in (c, before[c])))
+    some = rows.withColumn("c", cell).where(F.col("c").isin(list(wanted))).groupBy("c", "v").agg(F.count("*").alias("n"))
+    ends = some.withColumn("end", start[F.col("c")] + F.sum("n").over(Window.partitionBy("c").orderBy("v")))
+    hit = F.exists(F.array(*(F.lit(p) for p in places)), lambda p: (p >= F.col("end") - F.col("n")) & (p < F.col("end")))
+    found = sorted((r["end"], r["v"]) for r in ends.where(hit).select("end", "v").collect())
+    at = lambda p: next(v for end, v in found if p < end)
+    out = []
+    for q in shares:
+        x = q * (n - 1)
+        a, b = at(math.floor(x)), at(math.ceil(x))
+        out.append(a + (b - a) * (x - math.floor(x)))
+    return out
+
+
 def described(df: DataFrame, col: str, groups: list[str] = (), population: bool = True) -> DataFrame:
-    """Count, mean, deviation, extremes and nine quantiles (linear interpolation)."""
-    quantiles = F.percentile(col, F.array(*(F.lit(q) for q in QUANTILES)))
+    """Count, mean, deviation, extremes and nine quantiles (linear interpolation); with groups each group's distinct
+    values are held by one task."""
     spread = F.stddev_pop(col) if population else F.stddev_samp(col)
-    out = df.groupBy(*groups).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), spread.alias("std"), F.min(col).alias("min"), F.max(col).alias("max"), quantiles.alias("_q"))
-    return out.select(*groups, "n", "mean", "std", "min", "max", *(F.col("_q")[i].alias(f"q{round(q * 100):02d}") for i, q in enumerate(QUANTILES)))
+    basic = [F.count(col).alias("n"), F.avg(col).alias("mean"), spread.alias("std"), F.min(col).alias("min"), F.max(col).alias("max")]
+    names = [f"q{round(q * 100):02d}" for q in QUANTILES]
+    if not groups:
+        values = quantiles(df, col, QUANTILES) or [None] * len(QUANTILES)
+        return df.agg(*basic).select("*", *(F.lit(v).cast("double").alias(name) for v, name in zip(values, names)))
+    cut = F.percentile(col, F.array(*(F.lit(q) for q in QUANTILES)))
+    out = df.groupBy(*groups).agg(*basic, cut.alias("_q"))
+    return out.select(*groups, "n", "mean", "std", "min", "max", *(F.col("_q")[i].alias(name) for i, name in enumerate(names)))
+
+
+def finite_percentiles(df: DataFrame, col: str, shares: list[float]) -> list[float] | None:
+    """Quantiles of the values that are numbers and finite."""
+    return quantiles(df.where(~F.isnan(col) & (F.abs(col) < float("inf"))), col, shares)
 
 
 def dimension_stats(df: DataFrame, vec: str) -> DataFrame:
@@ -115,6 +185,35 @@ def dimension_stats(df: DataFrame, vec: str) -> DataFrame:
     return each.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
+def histogram(df: DataFrame, col: str, bins: int, lo: float, hi: float) -> DataFrame:
+    """(bin, from, to, count): equal steps of a given range, empty ones included; values outside are left out."""
+    wide = (hi - lo) / bins
+    inside = df.where((F.col(col) >= lo) & (F.col(col) <= hi)).groupBy(F.least(F.floor((F.col(col) - lo) / wide), F.lit(bins - 1)).cast("int").alias("_b")).count()
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(inside, F.col("bin") == F.col("_b"), "left").select("bin", (lo + F.col("bin") * wide).alias("from"), (lo + (F.col("bin") + 1) * wide).alias("to"), F.coalesce("count", F.lit(0).cast("long")).alias("count"))
+
+
+def random_index_pairs(n: int, pairs: int, seed: int, spark) -> DataFrame:
+    """(draw, i, j): pairs of places below n by hash, i <> j; the draws that fall together are left out."""
+    draw = spark.range(pairs).select(F.col("id").alias("draw"), *(F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{c}"), "id")), 1, 12), 16, 10).cast("long"), F.lit(n)).alias(c) for c in "ij"))
+    return draw.where("i <> j")
+
+
+def isolation(counts: DataFrame, close: str = "close") -> DataFrame:
+    """(median, mean, isolated): of neighbour counts, and the share of rows without any."""
+    middle = quantiles(counts, close, [0.5]) or [None]
+    return counts.agg(F.lit(middle[0]).cast("double").alias("median"), F.avg(close).alias("mean"), F.avg((F.col(close) == 0).cast("int")).alias("isolated"))
+
+
+def principal_plane(df: DataFrame, vec: str, keep: list[str], axes: int = 2) -> DataFrame:
+    """(keep..., x): every vector's coordinates on the leading principal axes; missing vectors are left out."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.where(F.col(vec).isNotNull()).select(*keep, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    return PCA(k=axes, inputCol="_v", outputCol="_x").fit(rows).transform(rows).select(*keep, vector_to_array("_x").alias("x"))
+
+
 def whitening(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and whitening matrix from sums over all rows; the driver gets one row per task of D x D numbers."""
 

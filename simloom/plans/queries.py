@@ -184,15 +184,15 @@ def script_fallback(spark, d):
     return cleaning.in_other_script(s, "Segmented_Text_EWTS", s, "Segmented_Text_EWTS", "Segmented_Text", ["seg_no"], "script").select("seg_no", "script")
 
 
-@query("""SELECT DISTINCT s AS sentence FROM (SELECT SentenceA s FROM scored_pairs WHERE SentenceA IS NOT NULL) WHERE s NOT IN (SELECT Segmented_Text_EWTS FROM segments WHERE Segmented_Text_EWTS IS NOT NULL)""")
+@query("""SELECT DISTINCT s AS sentence FROM (SELECT SentenceA s FROM scored_pairs UNION ALL SELECT SentenceB FROM scored_pairs) WHERE s IS NOT NULL AND s NOT IN (SELECT Segmented_Text_EWTS FROM segments WHERE Segmented_Text_EWTS IS NOT NULL)""")
 def unresolved_sentences(spark, d):
-    need = table(spark, d, "scored_pairs").select(F.col("SentenceA").alias("sentence")).where("sentence is not null").distinct()
+    need = cleaning.unique_sentences(table(spark, d, "scored_pairs"), "SentenceA", "SentenceB")
     return need.join(table(spark, d, "segments").select(F.col("Segmented_Text_EWTS").alias("sentence")), "sentence", "left_anti")
 
 
-@query("""SELECT DISTINCT ID, array_to_string(list_slice(string_split(ID, '_'), 1, 2), '_') AS batch, CASE WHEN is_unicode_score = false THEN 'emr' ELSE 'bws' END AS kind FROM merged_trainset WHERE ID LIKE '%\\_%\\_%' ESCAPE '\\'""")
+@query("""SELECT DISTINCT ID, array_to_string(list_slice(string_split(ID, '_'), 1, 2), '_') AS batch, CASE WHEN is_unicode_score = false THEN 'emr' ELSE 'bws' END AS kind FROM merged_trainset""")
 def batch_and_type(spark, d):
-    t = table(spark, d, "merged_trainset").where(F.col("ID").contains("_"))
+    t = table(spark, d, "merged_trainset")
     return t.select("ID", T.batch_key("ID").alias("batch"), T.score_type("is_unicode_score").alias("kind")).distinct()
 
 
@@ -255,29 +255,32 @@ def spearman(spark, d):
     return stats.spearman(_two_scores(spark, d), [], "FaissDistance", "score").select("n", r6("spearman").alias("spearman"))
 
 
-_GOLD = "(SELECT length(SentenceA) x, score y FROM gold_pairs WHERE NOT isnan(score))"
+_GOLD = f"""(SELECT ID, -levenshtein({_CODED.format("a")}, {_CODED.format("b")})::DOUBLE x, y FROM (SELECT *, list_distinct(list_concat(a, b)) k FROM (SELECT ID, {_WORDS.format("SentenceA")} a, {_WORDS.format("SentenceB")} b, score y FROM gold_pairs WHERE NOT isnan(score))))"""
+
+
+def _predicted(spark, d) -> DataFrame:
+    return table(spark, d, "gold_pairs").select("ID", (-T.word_distance("SentenceA", "SentenceB")).cast("double").alias("predicted"))
 
 
 @query(f"""WITH p AS (SELECT a.x ax, a.y ay, b.x bx, b.y b2, a.i, b.i j FROM (SELECT *, row_number() OVER () i FROM {_GOLD}) a, (SELECT *, row_number() OVER () i FROM {_GOLD}) b WHERE (a.x, a.y, a.i) <> (b.x, b.y, b.i))
 SELECT round(sum(sign(ax - bx) * sign(ay - b2)) / sqrt(count(*) FILTER (ax <> bx) * count(*) FILTER (ay <> b2)), 6) AS kendall FROM p""")
 def kendall(spark, d):
-    g = table(spark, d, "gold_pairs").select(F.length("SentenceA").alias("x"), F.col("score").alias("y"))
+    g = table(spark, d, "gold_pairs").join(_predicted(spark, d), "ID").select(F.col("predicted").alias("x"), F.col("score").alias("y"))
     return stats.kendall(g, [], "x", "y").select(r6("kendall").alias("kendall"))
 
 
-@query(f"""WITH g AS (SELECT ID, score y, length(SentenceA)::DOUBLE x FROM gold_pairs WHERE NOT isnan(score)) SELECT count(*) AS n, round(corr(x, y), 6) AS pearson FROM g""")
+@query(f"""SELECT count(*) AS n, round(corr(x, y), 6) AS pearson FROM {_GOLD}""")
 def gold_evaluation(spark, d):
     gold = table(spark, d, "gold_pairs")
-    predicted = gold.select("ID", F.length("SentenceA").cast("double").alias("predicted"))
-    both = gold.join(predicted, "ID").where("score is not null and predicted is not null")
+    both = gold.join(_predicted(spark, d), "ID").where("score is not null and predicted is not null")
     return stats.pearson(both, [], "predicted", "score").select("n", r6("pearson").alias("pearson"))
 
 
 @query(f"""WITH b AS (SELECT ID, array_to_string(list_slice(string_split(ID, '_'), 1, 2), '_') batch, {NUM.format('score')} s, is_unicode_score u FROM (SELECT DISTINCT ID, score, is_unicode_score FROM merged_trainset)),
 m AS (SELECT batch, min(s) lo, max(s) hi FROM b WHERE u = false GROUP BY 1)
-SELECT ID, b.batch, s AS unnormalized_score, CASE WHEN u = false THEN round(CASE WHEN hi - lo < 1e-9 THEN 0.0 ELSE (s - lo) / (hi - lo) END, 6) ELSE round(s, 6) END AS score FROM b LEFT JOIN m ON b.batch = m.batch WHERE ID LIKE '%\\_%' ESCAPE '\\'""")
+SELECT ID, b.batch, s AS unnormalized_score, CASE WHEN u = false THEN round(CASE WHEN hi - lo < 1e-9 THEN 0.0 ELSE (s - lo) / (hi - lo) END, 6) ELSE round(s, 6) END AS score FROM b LEFT JOIN m ON b.batch = m.batch""")
 def minmax_by_batch(spark, d):
-    t = table(spark, d, "merged_trainset").select("ID", "score", "is_unicode_score").distinct().where(F.col("ID").contains("_")).withColumn("batch", T.batch_key("ID"))
+    t = table(spark, d, "merged_trainset").select("ID", "score", "is_unicode_score").distinct().withColumn("batch", T.batch_key("ID"))
     out = results.minmax(t, "score", ["batch"], "scaled", T.score_type("is_unicode_score") == "emr")
     return out.select("ID", "batch", F.col("score").alias("unnormalized_score"), r6("scaled").alias("score"))
 
@@ -354,14 +357,6 @@ def hash_sample(spark, d):
     return sampling.sample(table(spark, d, "selected_pairs").select("ID").distinct(), 200, SEED, "ID")
 
 
-@query()
-def similar_pairs(spark, d):
-    e = table(spark, d, "embeddings")
-    near = knn.top_k(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 20)
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return sampling.distant_pairs(near, texts, "vec_id", "text", 0.2, 5, 250, SEED)
-
-
 @query()
 def random_pairs(spark, d):
     return sampling.random_pairs(table(spark, d, "documents"), "doc_id", "text", 250, 5, SEED)
@@ -400,7 +395,11 @@ def bws_score(spark, d):
     return s.select("ID", "best_count", "worst_count", "appearances", r6("raw_score").alias("raw_score"), r6("score").alias("score"))
 
 
-@query()
+@query("""WITH ids AS (SELECT DISTINCT ID id FROM selected_pairs WHERE ID IS NOT NULL), n AS (SELECT greatest(1, least(256, count(*) // 64)) cells FROM ids),
+p AS (SELECT id, r, md5('42-' || r || '|' || id) h FROM ids, range(2) t(r)), k AS (SELECT id, r, h, ('0x' || substr(h, 1, 8))::BIGINT % cells AS cell FROM p, n),
+w AS (SELECT *, row_number() OVER (PARTITION BY r, cell ORDER BY h, id) - 1 AS k, count(*) OVER (PARTITION BY r, cell) AS n FROM k),
+x AS (SELECT id, r, cell, k FROM w WHERE n >= 4 UNION ALL SELECT id, r, cell, n + k FROM w WHERE n >= 4 AND k < (4 - n % 4) % 4)
+SELECT printf('%02d_%04d_%06d', r, cell, k // 4) AS tuple_index, max(id) FILTER (k % 4 = 0) AS id_1, max(id) FILTER (k % 4 = 1) AS id_2, max(id) FILTER (k % 4 = 2) AS id_3, max(id) FILTER (k % 4 = 3) AS id_4 FROM x GROUP BY r, cell, k // 4""")
 def bws_tuples(spark, d):
     return bws.four_tuples(table(spark, d, "selected_pairs"), "ID")
 
@@ -504,8 +503,7 @@ def side_by_side(spark, d):
 
 @query("SELECT n_name AS model, l AS lr, e AS epochs FROM nation, (VALUES (0.1), (0.01)) a(l), (VALUES (1), (2), (4)) b(e)".replace("(0.1), (0.01)", "(0.1::DOUBLE), (0.01::DOUBLE)"))
 def settings_grid(spark, d):
-    names = [r[0] for r in table(spark, d, "nation").select("n_name").limit(1000).collect()]
-    return results.settings_grid(spark, {"model": names, "lr": [0.1, 0.01], "epochs": [1, 2, 4]})
+    return results.settings_grid(spark, {"lr": [0.1, 0.01], "epochs": [1, 2, 4]}, table(spark, d, "nation").select(F.col("n_name").alias("model")))
 
 
 # ---- hooks and stream ----------------------------------------------------------------------------------------------
