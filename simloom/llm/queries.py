@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, history, leaks, lookalike, mixing, mixture, near_dup, neighbours, pairs, splits
+from . import abuse, history, leaks, lookalike, mixing, mixture, near_dup, neighbours, pairs, splits, sql
 from .frames import table
 
 
@@ -161,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_groups": p7_groups,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
