@@ -3,7 +3,8 @@
 Every document's tokens are counted with a public tokenizer, and a hash of its number and the seed gives it a uniform
 number.  A source's documents are repeated as often as a Poisson variable of the source's mean says at that number, at
 most ``max_repeats`` times.  The mean is found by bisection on a histogram of the source's tokens over the uniform
-number, taken in one pass over all documents; shares are met to about a 4096th of a source.  The mixture
+number, taken in one pass over all documents, and of the means about it the one whose documents really come closest is
+taken in a second; shares are met up to about one document.  The mixture
 is as large as the scarcest source allows at its cap.  Copies are then shuffled globally by a hash.
 
 Cases: a missing or blank source is 'unknown' and, like any source without a target, left out of the mixture and
@@ -28,7 +29,7 @@ from .frames import stage
 TOKENIZERS = os.environ.get("SIMLOOM_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SEED = 20_240_607
-STEPS = 4096  # shares are met to about this part of a source
+STEPS = 4096  # of the uniform number, in the histogram
 MOST_TARGETS = 1000
 # Fixed value: how the vocabulary's authors cut text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -103,7 +104,21 @@ def means_for(sized: DataFrame, goals: dict[str, float], caps: dict[str, int]) -
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if tokens_at(histograms[s], mid, caps[s]) < goal else (lo, mid)
         means[s] = hi
-    return means
+    return _nearest_means(sized, goals, caps, means)
+
+
+def _nearest_means(sized: DataFrame, goals: dict[str, float], caps: dict[str, int], means: dict[str, float]) -> dict[str, float]:
+    """Of means near those found the ones whose realised tokens, document by document, come closest to the goals."""
+    shifts = [0.0, *(sign * 2.0**k / 4096 for k in range(9) for sign in (-1, 1))]
+    tried = [(s, [poisson_steps(m * (1 + x), caps[s]) for x in shifts]) for s, m in means.items()]
+    cuts = F.broadcast(sized.sparkSession.createDataFrame(tried, "s string, cuts array<array<double>>"))  # a row for each target
+    repeats = lambda k: F.size(F.filter(F.get("cuts", F.lit(k)), lambda c: F.col("u") >= c))
+    sums = sized.join(cuts, F.col("source") == F.col("s")).groupBy("s").agg(*(F.sum(F.col("tokens") * repeats(k)).alias(f"t{k}") for k in range(len(shifts))))
+    out = dict(means)
+    for s, *got in sums.collect():
+        best = min(range(len(shifts)), key=lambda k: (abs(got[k] - goals[s]), abs(shifts[k])))
+        out[s] = means[s] * (1 + shifts[best])
+    return out
 
 
 def plan(sized: DataFrame, targets: list[tuple[str, float, int]]):
