@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 BLOCK = 20_000
 
 
+#: Rows of queries that are compared with a batch at once.
+ROWS = 1024
+
+
 def _matrix(column) -> np.ndarray:
-    values = column.to_pylist()
-    return np.array(values, np.float64) if values else np.zeros((0, 1))
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -21,28 +25,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _best(batches, shared, k: int):
-    names, q = shared.value
-    best: dict[int, list] = {}
+    """Each query's k best of the task's rows, ties to the smaller id; held as three arrays sorted by query."""
+    names, q = np.asarray(shared.value[0], np.int64), shared.value[1]
+    row, ids, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, x = batch.column("id").to_numpy(), _unit(_matrix(batch.column("v")))
-        sims = q @ x.T
-        for i, name in enumerate(names):
-            order = np.lexsort((ids, -sims[i]))[:k]
-            best.setdefault(name, []).extend(zip(sims[i][order].tolist(), ids[order].tolist()))
-            best[name] = sorted(best[name], key=lambda t: (-t[0], t[1]))[:k]
-    rows = [(name, c, s) for name, found in best.items() for s, c in found]
-    cols = list(zip(*rows)) if rows else [[], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["q", "c", "sim"])
+        here, x = batch.column("id").to_numpy(), _unit(_matrix(batch.column("v"))).T
+        found = [(row, ids, sims)]
+        for s in range(0, len(q), ROWS):
+            c = q[s : s + ROWS] @ x
+            bar = np.partition(c, -k, axis=1)[:, -k] if k < c.shape[1] else np.full(len(c), -np.inf)
+            a, b = np.nonzero(c >= bar[:, None])
+            found.append((a + s, here[b], c[a, b]))
+        row, ids, sims = (np.concatenate(z) for z in zip(*found))
+        order = np.lexsort((ids, -sims, row))
+        row, ids, sims = row[order], ids[order], sims[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, ids, sims = row[rank < k], ids[rank < k], sims[rank < k]
+    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids), pa.array(sims)], ["q", "c", "sim"])
 
 
 def _above(batches, shared, least: float):
     names, q = shared.value
     for batch in batches:
         if batch.num_rows:
-            sims = q @ _unit(_matrix(batch.column("v"))).T
-            n = (sims >= least).sum(1)
+            x = _unit(_matrix(batch.column("v"))).T
+            n = np.concatenate([(q[s : s + ROWS] @ x >= least).sum(1) for s in range(0, len(q), ROWS)])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n.astype(np.int64))], ["q", "n"])
 
 
