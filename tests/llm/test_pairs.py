@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from simloom.llm import components, history, lookalike, near_dup, pairs, splits
-from simloom.llm.text import content_tokens, real_tokens
+from simloom.llm.text import Elements, content_tokens, real_tokens
 
 VOCAB = [a + b for a in "kgbdmnst" for b in ("a", "i", "u", "e", "o")]
 
@@ -133,6 +135,47 @@ def test_a_small_batch_reads_only_the_ranges_it_touches(spark):
     h.delete()
 
 
+def test_keys_of_more_tokens_lose_nothing_and_keep_windows_short():
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randint(1, 14)) for _ in range(120)]
+    texts += [changed(rng, rng.choice(texts)) for _ in range(150)]
+    elements = Elements()
+    lists = [sorted(elements(content_tokens(s))) for s in texts]
+    flags = [k % 3 > 0 for k in range(len(lists))]
+    batch = pa.RecordBatch.from_pydict({"sent": pa.array(range(len(lists)), pa.int64()), "e": pa.array(lists, pa.list_(pa.int64())), "is_first": flags})
+    alike = [(i, j) for i, x in enumerate(lists) for j, y in enumerate(lists) if i != j and flags[j] and 5 * len({*x} & {*y}) >= 4 * max(len(x), len(y))]
+    rank = {e: k for k, e in enumerate(sorted({e for x in lists[:60] for e in x})[::2])}
+    cells = []
+    for levels in (1, 2, 3):
+        entries = pa.Table.from_batches(history._entries([batch], rank, levels))
+        first = entries.filter(entries.column("is_first"))
+        first = first.append_column("old", pa.array([False] * len(first)))
+        found = history._meet(entries, first)
+        assert {*zip(*(found.column(c).to_pylist() for c in "st"))} >= {*alike}
+        a, b = history._Side(entries), history._Side(first)
+        _, i, j = np.intersect1d(a.keys, b.keys, return_indices=True)
+        cells.append(int((a.sizes[i] * b.sizes[j]).sum()))
+    assert cells[0] > 2 * cells[1] > 2 * cells[2]
+    # windows of 0.03, 0.6 and 6 GB: one more token each where the table, but not its vocabulary, grows
+    assert [history.key_levels(n, 1960) for n in (160_000, 3_200_000, 32_000_000)] == [1, 2, 3]
+
+
+def test_a_history_of_long_keys_finds_the_same(spark):
+    rng = random.Random(9)
+    rows = pair_rows(rng, 40, [f"pair_{it:04d}_001_{k:03d}_01" for it in (1, 2) for k in range(25)])
+    accepted, want = [], set()
+    for r in sorted(rows):
+        hits = [x for x in accepted if repeat(r, x)]
+        want |= {(x[0], r[0]) for x in hits}
+        if not hits:
+            accepted.append(r)
+    recs = pairs.records(spark.createDataFrame([(*r, 1) for r in rows], "ID string, A string, B string, arrived int"), "ID", "A", "B", ["arrived"])
+    h = history.AcceptedHistory(spark, ranges=4, expected=30_000_000)
+    got = {tuple(x) for it in (1, 2) for x in h.add(recs.where(F.col("id").startswith(f"pair_000{it}"))).collect()}
+    assert h.levels == 4 and got == want
+    h.delete()
+
+
 def test_cross_split_overlaps(spark):
     rng = random.Random(4)
     rows = [(*r, rng.choice(["train", "train", "eval", None])) for r in pair_rows(rng, 60, [f"s{k:03d}" for k in range(90)])] + [("s900", None, "a", "eval"), ("s901", None, "a", "train")]
